@@ -176,7 +176,10 @@ def scheme_host(url: Column) -> Column:
 
 def map_iso_code(col: Column) -> Column:
     """Two letters to three; three letters pass; anything else is null."""
-    table = F.create_map(*[F.lit(part) for item in ISO_639_1_TO_3.items() for part in item])
+    # One folded map literal; a map built entry by entry would be rewritten to a
+    # CASE of as many branches, too long to compile.
+    codes = " ".join(f"{two}:{three}" for two, three in ISO_639_1_TO_3.items())
+    table = F.str_to_map(F.lit(codes), F.lit(" "), F.lit(":"))
     return F.when(F.length(col) == 3, col).otherwise(F.try_element_at(table, col))
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import HashingTF, IndexToString, NGram, RegexTokenizer, StringIndexer
-from pyspark.ml.functions import vector_to_array
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaweave import constants as C
 from qaweave.functions import text as X
+from qaweave.functions.grams import counts
 
 
 def qa_filters(df: DataFrame) -> DataFrame:
@@ -41,37 +43,67 @@ def add_id(df: DataFrame) -> DataFrame:
     return df.withColumn("id", X.qa_id(F.col("question"), F.col("answer")))
 
 
-def train_language_model(df: DataFrame, text: str, language: str, buckets: int = 1 << 14,
-                         smoothing: float = 1.0) -> PipelineModel:
-    """Character three-gram classifier; training is one aggregation per class."""
-    return Pipeline(
-        stages=[
-            StringIndexer(inputCol=language, outputCol="_label", stringOrderType="alphabetAsc"),
-            RegexTokenizer(inputCol=text, outputCol="_chars", pattern="(?s).", gaps=False),
-            NGram(n=3, inputCol="_chars", outputCol="_grams"),
-            HashingTF(inputCol="_grams", outputCol="_features", numFeatures=buckets),
-            NaiveBayes(
-                featuresCol="_features", labelCol="_label", probabilityCol="_probability",
-                predictionCol="_prediction", rawPredictionCol="_raw", smoothing=smoothing,
-            ),
-        ]
-    ).fit(df.select(F.col(text), F.col(language)))
-
-
-def model_detector(model: PipelineModel):
+@dataclass(frozen=True)
+class LanguageModel:
+    """Log weights per language and three-gram bucket; its size is the number of
+    languages times the number of buckets, whatever it was trained on."""
+
+    names: list[str]
+    weights: np.ndarray
+    prior: np.ndarray
+
+
+def train_language_model(df: DataFrame, text: str, language: str, buckets: int = 1 << 13,
+                         smoothing: float = 1.0) -> LanguageModel:
+    """Three-gram counts per language: summed per task, then over tasks; only the
+    counts, of fixed size, come to the driver."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, value in zip(batch["language"], batch["text"]):
+                found = counts(value, buckets)
+                sums[name] = sums[name] + found if name in sums else found
+        for name, total in sums.items():
+            slots = np.flatnonzero(total)
+            yield pd.DataFrame({"language": name, "slot": slots, "n": total[slots]})
+
+    rows = df.select(F.col(language).alias("language"), F.col(text).alias("text")).dropna()
+    table = (
+        rows.mapInPandas(count, "language string, slot long, n long")
+        .groupBy("language", "slot").agg(F.sum("n").alias("n")).toPandas()
+    )
+    names = sorted(table["language"].unique())
+    total = np.full((len(names), buckets), smoothing)
+    place = table["language"].map({n: i for i, n in enumerate(names)}).to_numpy()
+    total[place, table["slot"].to_numpy()] += table["n"].to_numpy()
+    mass = total.sum(axis=1, keepdims=True)
+    return LanguageModel(names, np.log(total / mass), np.log(mass[:, 0] / mass.sum()))
+
+
+def model_detector(model: LanguageModel):
     """A detector: adds `label` and `confidence` for a text column.
 
     Any function of this form, for example around an outside model in a pandas
     UDF, can take its place."""
-    text = model.stages[1].getInputCol()
-    names = IndexToString(inputCol="_prediction", outputCol="label", labels=model.stages[0].labels)
-    scorer = PipelineModel(stages=[*model.stages[1:], names])
+    buckets = model.weights.shape[1]
+
+    def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = np.array([counts(t, buckets) for t in texts]).reshape(-1, buckets)
+            score = found @ model.weights.T + model.prior
+            share = np.exp(score - score.max(axis=1, keepdims=True))
+            share /= share.sum(axis=1, keepdims=True)
+            best = share.argmax(axis=1)
+            yield pd.DataFrame({
+                "label": [model.names[i] for i in best],
+                "confidence": share[np.arange(len(best)), best],
+            })
+
+    guess_udf = F.pandas_udf(guess, "label string, confidence double")
 
     def detect(df: DataFrame, column: str) -> DataFrame:
-        scored = scorer.transform(df.withColumn(text, F.col(column)))
-        return scored.withColumn(
-            "confidence", F.array_max(vector_to_array("_probability"))
-        ).select(*df.columns, "label", "confidence")
+        return df.withColumn("_guess", guess_udf(F.col(column))).select(*df.columns, "_guess.*")
 
     return detect
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from qaweave import constants as C
+from qaweave.functions.grams import signed_counts
 
 
 def hashed_grams(dims: int = 256):
@@ -22,15 +23,7 @@ def hashed_grams(dims: int = 256):
 
     def load():
         def encode(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dims))
-            for row, text in enumerate(texts):
-                codes = np.frombuffer(f" {text} ".encode("utf-32-le"), dtype=np.uint32)
-                codes = codes.astype(np.uint64)
-                grams = codes[:-2] * 1000003 + codes[1:-1] * 8191 + codes[2:]
-                grams = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-                sign = np.where(grams & np.uint64(1), 1.0, -1.0)
-                slot = ((grams >> np.uint64(1)) % np.uint64(dims)).astype(np.int64)
-                out[row] = np.bincount(slot, weights=sign, minlength=dims)
+            out = np.array([signed_counts(t, dims) for t in texts]).reshape(-1, dims)
             return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
         return encode

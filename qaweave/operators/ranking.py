@@ -42,23 +42,53 @@ def _block_counts(queries: DataFrame, corpus: DataFrame, q_rows: int, d_rows: in
 
 def _cells(df: DataFrame, counts: DataFrame, key: str, own: str, n_own: str, other: str,
            n_other: str) -> DataFrame:
-    """Each row to its own block and once to every block of the other side."""
+    """Each row to its own block and once to every block of the other side.
+    Columns get new identities, since both sides may come from one table."""
     return (
         df.join(F.broadcast(counts), "language")
+        .select(*[F.col(c).alias(c) for c in [*df.columns, "n_q", "n_d"]])
         .withColumn(own, F.pmod(F.xxhash64(key), F.col(n_own)).cast("int"))
         .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
         .drop("n_q", "n_d")
     )
 
 
-def _best(doc_ids: np.ndarray, scores: np.ndarray, k: int, positive: bool) -> np.ndarray:
-    """Indices of the first k by (score, doc_id), both descending."""
+def _best(scores: np.ndarray, k: int, positive: bool) -> np.ndarray:
+    """Indices of the first k by score; documents stand in descending order of
+    their id, so a stable sort settles ties."""
     pool = np.flatnonzero(scores > 0) if positive else np.arange(len(scores))
     if len(pool) > k:
         cut = np.partition(scores[pool], len(pool) - k)[len(pool) - k]
         pool = pool[scores[pool] >= cut]
-    order = sorted(pool, key=lambda i: (scores[i], doc_ids[i]), reverse=True)
-    return np.array(order[:k], dtype=np.int64)
+    return pool[np.argsort(-scores[pool], kind="stable")[:k]]
+
+
+def _coded(doc_ids: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """A number per document, in descending order of the ids."""
+    names, codes = np.unique(doc_ids.to_numpy(dtype=str), return_inverse=True)
+    return len(names) - 1 - codes, names[::-1].astype(object)
+
+
+class _Found:
+    """Rows of a run, gathered as arrays."""
+
+    def __init__(self):
+        self.queries, self.docs, self.scores, self.sizes = [], [], [], []
+
+    def add(self, query_id, doc_ids, scores, best):
+        self.queries.append(query_id)
+        self.sizes.append(len(best))
+        self.docs.append(doc_ids[best])
+        self.scores.append(scores[best])
+
+    def frame(self, queries: pd.DataFrame) -> pd.DataFrame:
+        if not self.queries:
+            return pd.DataFrame(columns=["language", "query_id", "doc_id", "score"])
+        return pd.DataFrame({
+            "language": queries["language"].iloc[0],
+            "query_id": np.repeat(np.array(self.queries, dtype=object), self.sizes),
+            "doc_id": np.concatenate(self.docs), "score": np.concatenate(self.scores),
+        })
 
 
 def _ranked(run: DataFrame, k: int) -> DataFrame:
@@ -105,26 +135,23 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float = 0.
     )
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = _Found()
         if len(left) and len(right):
-            doc_code, doc_ids = pd.factorize(right["doc_id"])
-            doc_ids = np.asarray(doc_ids, dtype=object)
-            slots = right.groupby("term").indices
-            part = right["part"].to_numpy()
-            for query_id, terms in left.groupby("query_id"):
+            doc_code, doc_ids = _coded(right["doc_id"])
+            slots = {
+                term: (doc_code[rows], right["part"].to_numpy()[rows])
+                for term, rows in right.groupby("term", sort=False).indices.items()
+            }
+            terms, weights = left["term"].to_numpy(), left["weight"].to_numpy()
+            for query_id, rows in left.groupby("query_id", sort=False).indices.items():
                 scores = np.zeros(len(doc_ids))
-                for term, weight in zip(terms["term"], terms["weight"]):
-                    rows = slots.get(term)
-                    if rows is not None:
-                        scores[doc_code[rows]] += weight * part[rows]
+                for i in rows:
+                    posting = slots.get(terms[i])
+                    if posting is not None:
+                        scores[posting[0]] += weights[i] * posting[1]
                 scores = np.round(scores, SCORE_DIGITS)
-                best = _best(doc_ids, scores, k, True)
-                out.append(pd.DataFrame({
-                    "language": left["language"].iloc[0], "query_id": query_id,
-                    "doc_id": doc_ids[best], "score": scores[best],
-                }))
-        return pd.concat(out) if out else pd.DataFrame(
-            columns=["language", "query_id", "doc_id", "score"])
+                found.add(query_id, doc_ids, scores, _best(scores, k, True))
+        return found.frame(left)
 
     left = _cells(weights, counts, "query_id", "q_block", "n_q", "d_block", "n_d")
     right = _cells(parts, counts, "doc_id", "d_block", "n_d", "q_block", "n_q")
@@ -139,21 +166,17 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 1000,
     counts = _block_counts(queries, corpus, q_rows, d_rows)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = _Found()
         if len(left) and len(right):
+            right = right.sort_values("doc_id", ascending=False, ignore_index=True)
             doc_ids = right["doc_id"].to_numpy(dtype=object)
             documents = unit_rows(right["embedding"])
             for start in range(0, len(left), 256):
                 part = left.iloc[start:start + 256]
                 similar = np.round(unit_rows(part["embedding"]) @ documents.T, SCORE_DIGITS)
                 for query_id, scores in zip(part["query_id"], similar):
-                    best = _best(doc_ids, scores, k, False)
-                    out.append(pd.DataFrame({
-                        "language": part["language"].iloc[0], "query_id": query_id,
-                        "doc_id": doc_ids[best], "score": scores[best],
-                    }))
-        return pd.concat(out) if out else pd.DataFrame(
-            columns=["language", "query_id", "doc_id", "score"])
+                    found.add(query_id, doc_ids, scores, _best(scores, k, False))
+        return found.frame(left)
 
     left = _cells(queries.select("language", "query_id", "embedding"), counts,
                   "query_id", "q_block", "n_q", "d_block", "n_d")

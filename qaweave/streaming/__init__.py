@@ -1,0 +1,11 @@
+"""Incremental batches.
+
+All jobs read whole files and end; there is no stream, watermark or state to
+rebuild. New input is taken up by two batch jobs: a merge with an earlier result
+and vectors for rows that have none.
+"""
+
+from qaweave.operators.dedup import merge_parts
+from qaweave.operators.embed import embed_missing
+
+__all__ = ["embed_missing", "merge_parts"]
