@@ -7,18 +7,30 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from qaweave.constants import EMOJI_RANGES, ISO_639_1_TO_3
 
-# (?U) makes \s and \d cover Unicode, (?s) lets the dot cover every character.
-_STRIP = r"(?U)\A\s+|\s+\z"
+# Every character that counts as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, _STRIP, "")
+    """Looks at the ends only; a pattern would walk the whole text."""
+    return F.btrim(col, F.lit(WHITE_SPACE))
+
+
+def _holds(col: Column, *parts: str) -> Column:
+    found = col.contains(parts[0])
+    for part in parts[1:]:
+        found = found | col.contains(part)
+    return found
 
 
 # ---------------------------------------------------------------- literals
@@ -75,23 +87,32 @@ def _plain_text(markup: pd.Series) -> pd.Series:
 
 
 def normalize_newlines(col: Column) -> Column:
-    """Written-out line breaks become real ones, runs collapse to one."""
-    real = F.regexp_replace(col, r"\\r\\n|\\n", "\n")
-    return F.regexp_replace(strip(real), r"(?U)\s*\n\s*", "\n")
-
-
-def decode_literal(col: Column) -> Column:
-    """Text of a quoted object; other objects and null pass unchanged.
-
-    Rows without markup stay in the JVM: Python gets null for them."""
-    inner = strip(
-        F.regexp_extract(col, r'(?sU)\A"(.*)"(?:\^\^<[^>]+>)?(?:@\S+(?:\sclass=)?)?\z', 1)
+    """Written-out line breaks become real ones; white space around line breaks
+    and empty lines go."""
+    real = F.replace(F.replace(col, F.lit("\\r\\n"), F.lit("\n")), F.lit("\\n"), F.lit("\n"))
+    lines = F.filter(F.transform(F.split(real, "\n"), strip), lambda line: line != "")
+    return F.array_join(lines, "\n")
+
+
+def decode_literals(df: DataFrame, column: str) -> DataFrame:
+    """Text of quoted objects in a column; other objects and null pass unchanged.
+
+    In steps, so that each text is taken apart once. Rows without markup stay in
+    the JVM: Python gets null for them."""
+    inner = F.regexp_extract(column, r'(?sU)\A"(.*)"(?:\^\^<[^>]+>)?(?:@\S+(?:\sclass=)?)?\z', 1)
+    staged = df.withColumn("_inner", F.when(F.col(column).startswith('"'), strip(inner)))
+    inner = F.col("_inner")
+    spaced = F.replace(inner, F.lit("\\t"), F.lit(" "))
+    simple = F.when(
+        _holds(inner, "  ", "\\t", "\t", "\r", "\f"), F.regexp_replace(spaced, r"[ \t\r\f]+", " ")
+    ).otherwise(inner)
+    staged = staged.withColumn(
+        "_text", F.coalesce(_plain_text(F.when(_holds(inner, "<", "&"), inner)), simple)
     )
-    marked = inner.contains("<") | inner.contains("&")
-    simple = F.regexp_replace(F.replace(inner, F.lit("\\t"), F.lit(" ")), r"[ \t\r\f]+", " ")
-    text = F.coalesce(_plain_text(F.when(col.startswith('"') & marked, inner)), simple)
-    text = normalize_newlines(F.replace(text, F.lit('\\"'), F.lit('"')))
-    return F.when(col.startswith('"'), text).otherwise(col)
+    text = normalize_newlines(F.replace(F.col("_text"), F.lit('\\"'), F.lit('"')))
+    return staged.withColumn(
+        column, F.when(F.col("_inner").isNotNull(), text).otherwise(F.col(column))
+    ).drop("_inner", "_text")
 
 
 def strip_angles(col: Column) -> Column:
@@ -109,9 +130,12 @@ _QUOTE_PAIRS = (("\"", "\""), ("“", "”"), ("‘", "’"), ("‟", "”"), ("
 
 
 def _remove_in_turn(col: Column, patterns) -> Column:
+    """The first character tells whether any mark can be there."""
+    marked = F.substring(col, 1, 1).rlike(r"(?U)[AQ\d]")
+    cut = col
     for pattern in patterns:
-        col = F.regexp_replace(col, pattern, "")
-    return col
+        cut = F.regexp_replace(cut, pattern, "")
+    return F.when(marked, cut).otherwise(col)
 
 
 def strip_question_prefixes(col: Column) -> Column:
@@ -124,10 +148,12 @@ def strip_answer_prefixes(col: Column) -> Column:
 
 def strip_quotes(col: Column) -> Column:
     """One layer per pair; a lone straight quote becomes empty."""
+    cut = col
     for opening, closing in _QUOTE_PAIRS:
         body = f"(?:(.*){closing})?" if opening == closing else f"(.*){closing}"
-        col = F.regexp_replace(col, rf"(?s)\A{opening}{body}\z", "$1")
-    return col
+        cut = F.regexp_replace(cut, rf"(?s)\A{opening}{body}\z", "$1")
+    quoted = F.substring(col, 1, 1).isin([opening for opening, _ in _QUOTE_PAIRS])
+    return F.when(quoted, cut).otherwise(col)
 
 
 def emoji_pattern() -> str:
@@ -141,23 +167,24 @@ def emoji_pattern() -> str:
     return rf"[0-9#*]\x{{FE0F}}?\x{{20E3}}|{one}(?:\x{{200D}}{one})*"
 
 
-def strip_emoji(col: Column) -> Column:
-    return strip(F.regexp_replace(col, emoji_pattern(), ""))
-
-
-def clean_question(col: Column) -> Column:
-    return strip_emoji(strip_quotes(strip_question_prefixes(col)))
+# Few wide ranges around all emoji: letters and usual punctuation fail here, so
+# the long class above is tried on hardly any text.
+_NEAR_EMOJI = (
+    r"[\x{A9}\x{AE}\x{203C}\x{2049}\x{20E3}\x{2122}\x{2139}\x{2194}-\x{2BFF}"
+    r"\x{3030}\x{303D}\x{3297}\x{3299}\x{1F004}-\x{1FAF8}]"
+)
 
 
-def clean_answer(col: Column) -> Column:
-    return strip_emoji(strip_quotes(strip_answer_prefixes(col)))
+def strip_emoji(col: Column) -> Column:
+    suspect = (F.octet_length(col) > F.length(col)) & col.rlike(_NEAR_EMOJI)
+    return strip(F.when(suspect, F.regexp_replace(col, emoji_pattern(), "")).otherwise(col))
 
 
 # ---------------------------------------------------------------- identity
 
 
 def match_text(question: Column, answer: Column) -> Column:
-    return F.translate(F.concat(question, F.lit(" "), answer), "\n", " ")
+    return F.replace(F.concat(question, F.lit(" "), answer), F.lit("\n"), F.lit(" "))
 
 
 def qa_id(question: Column, answer: Column) -> Column:

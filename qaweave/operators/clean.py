@@ -31,11 +31,15 @@ def add_scheme_host(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def clean_pairs(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {
-            "question": X.clean_question(F.col("question")),
-            "answer": X.clean_answer(F.col("answer")),
-        }
+    """Prefixes, then quotes, then emoji; step by step, as each rule looks at the
+    result of the one before more than once."""
+    q, a = F.col("question"), F.col("answer")
+    return (
+        df.withColumns({
+            "question": X.strip_question_prefixes(q), "answer": X.strip_answer_prefixes(a),
+        })
+        .withColumns({"question": X.strip_quotes(q), "answer": X.strip_quotes(a)})
+        .withColumns({"question": X.strip_emoji(q), "answer": X.strip_emoji(a)})
     )
 
 

@@ -16,7 +16,7 @@ from qaweave.constants import (
     SCHEMA_ROOTS,
     TYPE_PREDICATES,
 )
-from qaweave.functions.text import decode_literal, strip_angles
+from qaweave.operators.quads import decode_objects
 
 _KEY = ["file", "graph", "subject"]
 QA_PROPERTIES = ("name", "acceptedAnswer", "text", "mainEntity")
@@ -42,23 +42,25 @@ def build_entities(quads: DataFrame, raw: bool = False, properties=None) -> Data
     the objects are still as written and are decoded only where used: types in
     the first branch, values of kept entities after the join."""
     is_type = F.col("predicate").isin(list(TYPE_PREDICATES))
-    decode = (lambda c: strip_angles(decode_literal(c))) if raw else (lambda c: c)
+    decode = decode_objects if raw else (lambda df, column: df)
+    typed = quads.select(
+        *_KEY,
+        "pos",
+        F.when(is_type, F.col("pos")).alias("type_pos"),
+        F.when(is_type, F.col("object")).alias("type_object"),
+    )
     heads = keep_types(
-        quads.select(
-            *_KEY,
-            "pos",
-            F.when(is_type, F.col("pos")).alias("type_pos"),
-            decode(F.when(is_type, F.col("object"))).alias("type_object"),
-        )
+        decode(typed, "type_object")
         .groupBy(*_KEY)
         .agg(F.min("pos").alias("pos"), F.max_by("type_object", "type_pos").alias("type"))
     )
     values = quads.filter(~is_type).withColumnRenamed("pos", "value_pos")
     if properties is not None:
         values = values.filter(is_property("predicate", *properties))
-    return values.join(heads, _KEY).select(
-        *_KEY, "pos", "type", "predicate", "value_pos", decode(F.col("object")).alias("value")
+    kept = values.join(heads, _KEY).select(
+        *_KEY, "pos", "type", "predicate", "value_pos", F.col("object").alias("value")
     )
+    return decode(kept, "value")
 
 
 def page_main_entities(entities: DataFrame) -> DataFrame:

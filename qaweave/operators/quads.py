@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaweave.constants import URL_PROPERTIES
-from qaweave.functions.text import decode_literal, strip, strip_angles
+from qaweave.functions.text import decode_literals, strip, strip_angles
 
 # The line format. Three blanks stand before the final dot.
 _SUBJECT = r"(<[^>]+>|_:[a-zA-Z0-9]+)"
@@ -27,24 +27,24 @@ def split_lines(lines: DataFrame) -> DataFrame:
     """The four parts as written; lines of another form are dropped.
 
     One pattern run per line: the parts come back on lines of their own, which a
-    single input line can never hold."""
+    single input line can never hold. The generator keeps the optimizer from
+    running the pattern once for the filter and again for the parts."""
     parts = F.split(F.regexp_replace(strip(F.col("value")), LINE_PATTERN, "\n$1\n$2\n$3\n$4"), "\n")
-    return (
-        lines.select("file", "pos", parts.alias("p"))
-        .filter(F.size("p") == 5)
-        .select(
-            "file",
-            "pos",
-            strip_angles(F.col("p")[4]).alias("graph"),
-            strip_angles(F.col("p")[1]).alias("subject"),
-            strip_angles(F.col("p")[2]).alias("predicate"),
-            F.col("p")[3].alias("object"),
-        )
+    matched = F.filter(F.array(parts), lambda p: F.size(p) == 5)
+    return lines.select("file", "pos", F.explode(matched).alias("p")).select(
+        "file",
+        "pos",
+        strip_angles(F.col("p")[4]).alias("graph"),
+        strip_angles(F.col("p")[1]).alias("subject"),
+        strip_angles(F.col("p")[2]).alias("predicate"),
+        F.col("p")[3].alias("object"),
     )
 
 
 def parse_quads(lines: DataFrame) -> DataFrame:
     """Lines (file, pos, value) to quads with decoded objects."""
-    return split_lines(drop_url_lines(lines)).withColumn(
-        "object", strip_angles(decode_literal(F.col("object")))
-    )
+    return decode_objects(split_lines(drop_url_lines(lines)), "object")
+
+
+def decode_objects(df: DataFrame, column: str) -> DataFrame:
+    return decode_literals(df, column).withColumn(column, strip_angles(F.col(column)))

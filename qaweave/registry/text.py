@@ -161,14 +161,14 @@ def _(spark, sf):
 @query("decode_literal", sql("SELECT pos, question, answer FROM pairs"))
 def _(spark, sf):
     literal = lambda c: F.concat(F.lit('"'), A._escaped(c), F.lit('"'))
-    return A.pairs(spark, sf).select(
-        "pos", *[X.decode_literal(literal(c)).alias(c) for c in ("question", "answer")])
+    rows = A.pairs(spark, sf).select("pos", *[literal(c).alias(c) for c in ("question", "answer")])
+    return X.decode_literals(X.decode_literals(rows, "question"), "answer")
 
 
 @query("html_to_text", None)
 def _(spark, sf):
     written = F.concat(F.lit('"'), F.replace(F.col("html"), F.lit("\n"), F.lit("\\n")), F.lit('"'))
-    return A.table(spark, sf, "pages").select("page_id", X.decode_literal(written).alias("text"))
+    return X.decode_literals(A.table(spark, sf, "pages").select("page_id", written.alias("text")), "text")
 
 
 @query("normalize_newlines", r"""
