@@ -168,7 +168,7 @@ def emoji_pattern() -> str:
 
 
 # Few wide ranges around all emoji: letters and usual punctuation fail here, so
-# the long class above is tried on hardly any text.
+# the long class above is tried on hardly any character.
 _NEAR_EMOJI = (
     r"[\x{A9}\x{AE}\x{203C}\x{2049}\x{20E3}\x{2122}\x{2139}\x{2194}-\x{2BFF}"
     r"\x{3030}\x{303D}\x{3297}\x{3299}\x{1F004}-\x{1FAF8}]"
@@ -177,7 +177,8 @@ _NEAR_EMOJI = (
 
 def strip_emoji(col: Column) -> Column:
     suspect = (F.octet_length(col) > F.length(col)) & col.rlike(_NEAR_EMOJI)
-    return strip(F.when(suspect, F.regexp_replace(col, emoji_pattern(), "")).otherwise(col))
+    pattern = f"(?=[0-9#*]|{_NEAR_EMOJI})(?:{emoji_pattern()})"
+    return strip(F.when(suspect, F.regexp_replace(col, pattern, "")).otherwise(col))
 
 
 # ---------------------------------------------------------------- identity

@@ -93,17 +93,19 @@ def _prompt_sql(template):
     out = [_quoted(parts[0])]
     for field, part in zip(fields, parts[1:]):
         out += [field, _quoted(part)]
-    return sql(f"SELECT pos, {' || '.join(out)} AS prompt FROM faq")
+    return " || ".join(out)
 
 
-@query("annotation_prompt_topic", _prompt_sql(C.TOPIC_PROMPT))
+@query("annotation_prompt", sql(f"""
+SELECT pos, 'topic' AS kind, {_prompt_sql(C.TOPIC_PROMPT)} AS prompt FROM faq
+UNION ALL SELECT pos, 'question_type', {_prompt_sql(C.QUESTION_TYPE_PROMPT)} FROM faq"""))
 def _(spark, sf):
-    return B.annotation_prompt(A.faq(spark, sf), "topic").select("pos", "prompt")
-
-
-@query("annotation_prompt_question_type", _prompt_sql(C.QUESTION_TYPE_PROMPT))
-def _(spark, sf):
-    return B.annotation_prompt(A.faq(spark, sf), "question_type").select("pos", "prompt")
+    rows = A.faq(spark, sf)
+    topic, question = [
+        B.annotation_prompt(rows, kind).select("pos", F.lit(kind).alias("kind"), "prompt")
+        for kind in ("topic", "question_type")
+    ]
+    return topic.unionAll(question)
 
 
 def _replies(spark, sf):

@@ -338,7 +338,7 @@ def _(spark, sf):
     return clean.add_id(A.pairs(spark, sf)).select("pos", "id")
 
 
-@query("dedup_exact", sql(f"""
+@query("dedup_exact_file", sql(f"""
 SELECT source AS file, {_ID} AS id, url, pos FROM pairs
 QUALIFY row_number() OVER (PARTITION BY source, {_ID} ORDER BY url, pos) = 1"""))
 def _(spark, sf):
