@@ -94,8 +94,8 @@ def model_detector(model: LanguageModel):
 
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            found = np.array([counts(t, buckets) for t in texts]).reshape(-1, buckets)
-            score = found @ model.weights.T + model.prior
+            score = np.array([model.weights @ counts(t, buckets) for t in texts])
+            score = score.reshape(-1, len(model.names)) + model.prior
             share = np.exp(score - score.max(axis=1, keepdims=True))
             share /= share.sum(axis=1, keepdims=True)
             best = share.argmax(axis=1)

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from qaweave import constants as C
 from qaweave.operators.blocks import unit_rows
 
-QUERY_BLOCK = 2048
-DOC_BLOCK = 8192
+# A query row is a few terms, a document row all its postings of query terms; so
+# query blocks are the larger ones and postings are seldom copied.
+QUERY_BLOCK = 16384
+DOC_BLOCK = 2048
 SCORE_DIGITS = 9
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 _CELL = ["language", "q_block", "d_block"]
@@ -65,8 +67,12 @@ def _best(scores: np.ndarray, k: int, positive: bool) -> np.ndarray:
 
 def _coded(doc_ids: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """A number per document, in descending order of the ids."""
-    names, codes = np.unique(doc_ids.to_numpy(dtype=str), return_inverse=True)
-    return len(names) - 1 - codes, names[::-1].astype(object)
+    codes, names = pd.factorize(doc_ids)
+    names = np.asarray(names, dtype=object)
+    order = np.argsort(names)[::-1]
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return place[codes], names[order]
 
 
 class _Found:
@@ -121,7 +127,11 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float = 0.
         .groupBy("language", "doc_id", "doc_len", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    frequencies = postings.groupBy("language", "term").agg(F.count(F.lit(1)).alias("df"))
+    # Reading tf (never 0) keeps this branch on the same exchange as the scores, so
+    # the postings are made once.
+    frequencies = postings.groupBy("language", "term").agg(
+        F.count_if(F.col("tf") > 0).alias("df")
+    )
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = (
         query_terms.join(frequencies, ["language", "term"])

@@ -39,8 +39,20 @@ def pairs(spark, sf) -> DataFrame:
     )
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def faq(spark, sf) -> DataFrame:
-    return dedup_exact(add_id(pairs(spark, sf)), ["language"], ["pos"])
+    """The merged table: first row per id of a language. Like the corpus it stands
+    for it is a stored table, written once per session and scanned by the jobs
+    with their own column selection."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WRITTEN:
+        path = new_path(spark, "faq")
+        rows = dedup_exact(add_id(pairs(spark, sf)), ["language"], ["pos"])
+        rows.write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
 
 
 def labels(spark, sf) -> DataFrame:
