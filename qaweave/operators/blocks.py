@@ -12,8 +12,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 8192
-STRIPE_ROWS = 1024
+# Two blocks of 512 dimensions in double are 128 MiB, a stripe of products 64 MiB.
+# Larger blocks mean fewer copies of each vector, at more memory per task.
+BLOCK_ROWS = 16384
+STRIPE_ROWS = 512
 # Sums of products differ in the last bits with the block shape; rounding here
 # makes ties and limits independent of it.
 DIGITS = 12

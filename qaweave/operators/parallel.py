@@ -250,8 +250,8 @@ def precision_recall_sweep(scores: DataFrame, limits=C.SCORE_LIMITS) -> DataFram
 def to_bitexts(scores: DataFrame, limit: float = C.BITEXT_SIMILARITY,
                min_rows: int = C.BITEXT_MIN_ROWS) -> DataFrame:
     """Pairs that reach the limit and differ in question and answer, for language
-    pairs with enough rows. Counts come from an aggregate of one row per
-    language pair (two codes of three letters bound their number)."""
+    pairs with enough rows. The broadcast table has one row per language pair
+    that has at least `min_rows` rows; 75 languages make 2,775 pairs."""
     q, a, l = F.col("questions"), F.col("answers"), F.col("languages")
     kept = scores.filter(
         (F.col("similarity") >= F.lit(limit)) & (q[0] != q[1]) & (a[0] != a[1])
@@ -259,7 +259,7 @@ def to_bitexts(scores: DataFrame, limit: float = C.BITEXT_SIMILARITY,
     enough = kept.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).filter(
         F.col("n") >= min_rows
     )
-    return kept.join(enough.select("pair"), "pair", "left_semi").select(
+    return kept.join(F.broadcast(enough.select("pair")), "pair", "left_semi").select(
         "pair",
         F.col("scheme_host").alias("origin"),
         F.col("similarity").alias("labse_similarity"),

@@ -73,10 +73,38 @@ def answer_lengths(df: DataFrame) -> DataFrame:
     return _lengths(df, "answer")
 
 
+def corpus_sizes(df: DataFrame) -> DataFrame:
+    """Pairs and text lengths per language and overall (`_overall` = 1), from one
+    scan of the texts."""
+    sums = [F.count(F.lit(1)).alias("n")]
+    for name in ("question", "answer"):
+        size = F.length(name)
+        sums += [F.min(size).alias(f"{name}_min"), F.max(size).alias(f"{name}_max"),
+                 F.sum(size).alias(f"{name}_sum")]
+    rolled = df.groupBy("language").agg(*sums).rollup("language").agg(
+        F.grouping("language").cast("int").alias("_overall"),
+        F.sum("n").alias("qa_pairs"),
+        *[
+            getattr(F, how)(f"{name}_{how}").alias(f"{name}_{how}")
+            for name in ("question", "answer") for how in ("min", "max", "sum")
+        ],
+    )
+    return rolled.withColumns({
+        f"{name}_avg": F.col(f"{name}_sum") / F.col("qa_pairs") for name in ("question", "answer")
+    })
+
+
 def _labelled(faq: DataFrame, labels: DataFrame, large) -> DataFrame:
     return faq.filter(_is_large(large)).select("language", "id").join(labels, ["language", "id"])
 
 
+def label_counts(faq: DataFrame, labels: DataFrame, large=C.LARGE_LANGUAGES) -> DataFrame:
+    """Rows per language, topic and question type of the large languages."""
+    return _labelled(faq, labels, large).groupBy("language", "topic", "question_type").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
 def _pairs_per(labelled: DataFrame, name: str) -> DataFrame:
     per = labelled.filter(F.col(name).isNotNull()).groupBy("language", name).agg(
         F.count(F.lit(1)).alias("n")

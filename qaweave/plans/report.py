@@ -11,74 +11,83 @@ from qaweave import constants as C
 from qaweave.operators import stats
 
 
-def _keyed(df: DataFrame, key, value) -> F.Column:
-    return F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value))))
+def _sorted_map(key, value, keep=None):
+    """Map of a handful of keys; rows outside `keep` are left out."""
+    entry = F.struct(key.alias("k"), value.alias("v"))
+    return F.map_from_entries(
+        F.sort_array(F.collect_list(entry if keep is None else F.when(keep, entry)))
+    )
+
+
+def _classes(labelled: DataFrame, name: str) -> DataFrame:
+    """Counts per class, overall and per language."""
+    per = labelled.filter(F.col(name).isNotNull()).groupBy("language", name).agg(
+        F.sum("n").alias("n")
+    )
+    overall = per.groupBy(name).agg(F.sum("n").alias("n")).agg(
+        _sorted_map(F.col(name), F.col("n")).alias(f"qa_pairs_per_{name}_overall")
+    )
+    nested = per.groupBy("language").agg(_sorted_map(F.col(name), F.col("n")).alias("m")).agg(
+        F.map_from_entries(F.collect_list(F.struct("language", "m"))).alias(
+            f"qa_pairs_per_{name}_and_language")
+    )
+    return _beside([overall, nested])
+
+
+def _beside(parts: list[DataFrame]) -> DataFrame:
+    """One-row tables side by side."""
+    keyed = [p.withColumn("_one", F.lit(1)) for p in parts]
+    return reduce(lambda x, y: x.join(F.broadcast(y), "_one"), keyed).drop("_one")
 
 
 def statistics_report(faq: DataFrame, labels: DataFrame, flags: DataFrame,
                       large=C.LARGE_LANGUAGES) -> DataFrame:
-    """One row with all metrics. What is collected here is one entry per
-    language, topic or question type."""
-    overall = F.col("language").isNull()
-    named = ~overall
+    """One row with all metrics. Texts are scanned once for all counts and
+    lengths, labels are joined once for both classes, flags once for all limits;
+    what is collected is one entry per language, topic or question type."""
     lang = F.col("language")
+    overall = F.col("_overall") == 1
 
-    def split(df, **parts):
-        """Overall value and per-language map of a rolled-up metric."""
-        return df.agg(*[expr.alias(name) for name, expr in parts.items()])
-
-    def mapped(value):
-        entry = F.when(named, F.struct(lang.alias("k"), value.alias("v")))
-        return F.map_from_entries(F.sort_array(F.collect_list(entry)))
-
-    def only(value):
-        return F.max(F.when(overall, value))
-
-    pairs = stats.pairs_per_language(faq)
-    q, a = stats.question_lengths(faq), stats.answer_lengths(faq)
-    sizes = F.struct(F.col("min_length").alias("min"), F.col("max_length").alias("max"),
-                     F.col("avg_length").alias("avg"))
-    filtered = stats.filtered_counts(faq, labels, flags, large=large)
-    pair = F.struct("filtered", "kept")
-
-    def classes(df, name):
-        cls = F.col(name)
-        total = F.when(overall, F.struct(cls.alias("k"), F.col("qa_pairs").alias("v")))
-        per = (
-            df.filter(named).groupBy("language")
-            .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, "qa_pairs")))).alias("m"))
-            .agg(F.map_from_entries(F.sort_array(F.collect_list(
-                F.struct("language", F.to_json("m").alias("v"))))).alias(f"qa_pairs_per_{name}_and_language"))
-        )
+    def both(name, value, keep=F.lit(True), note=""):
         return [
-            df.agg(F.map_from_entries(F.sort_array(F.collect_list(total)))
-                   .alias(f"qa_pairs_per_{name}_overall")),
-            per,
+            F.max(F.when(keep & overall, value)).alias(f"{name}_overall{note}"),
+            _sorted_map(lang, value, keep & ~overall).alias(f"{name}_per_language{note}"),
         ]
 
-    parts = [
-        stats.language_lists(faq, large),
-        split(pairs, qa_pairs_overall=only(F.col("qa_pairs")),
-              qa_pairs_per_language=mapped(F.col("qa_pairs"))),
-        stats.hosts_per_language(faq).agg(
-            F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "scheme_hosts"))))
-            .alias("scheme_hosts")),
-        split(q, question_lengths_overall=only(sizes), question_lengths_per_language=mapped(sizes)),
-        split(a, answer_lengths_overall=only(sizes), answer_lengths_per_language=mapped(sizes)),
-        *classes(stats.pairs_per_topic(faq, labels, large), "topic"),
-        *classes(stats.pairs_per_question_type(faq, labels, large), "question_type"),
-        *[
-            split(
-                filtered.filter(F.col("similarity") == limit),
-                **{f"qa_pairs_filtered_kept_overall_{limit}": only(pair),
-                   f"qa_pairs_filtered_kept_per_language_{limit}": mapped(pair)},
-            )
-            for limit in C.REPORTED_SIMILARITIES
-        ],
-    ]
-    # Every part is exactly one row, joined on a constant.
-    keyed = [p.withColumn("_one", F.lit(1)) for p in parts]
-    return reduce(lambda x, y: x.join(F.broadcast(y), "_one"), keyed).drop("_one")
+    sizes = stats.corpus_sizes(faq)
+    lengths = {
+        name: F.struct(*[F.col(f"{name}_{x}").alias(x) for x in ("min", "max", "avg")])
+        for name in ("question", "answer")
+    }
+    counted = sizes.agg(
+        *both("qa_pairs", F.col("qa_pairs")),
+        *both("question_lengths", lengths["question"]),
+        *both("answer_lengths", lengths["answer"]),
+    )
+    hosts = stats.hosts_per_language(faq).agg(
+        _sorted_map(lang, F.col("scheme_hosts")).alias("scheme_hosts")
+    )
+    classes = stats.label_counts(faq, labels, large)
+    filtered = stats.filtered_counts(faq, labels, flags, large=large).withColumn(
+        "_overall", F.when(lang.isNull(), 1).otherwise(0)
+    )
+    pair = F.array("filtered", "kept")
+    kept = filtered.agg(*[
+        column for limit in C.REPORTED_SIMILARITIES
+        for column in both("qa_pairs_filtered/unfiltered", pair,
+                           F.col("similarity") == F.lit(limit), f" ({limit})")
+    ])
+    # Names of the report's fields.
+    lists = stats.language_lists(faq, large).withColumnsRenamed({
+        "large_languages": "languages_ge_100_scheme_hosts",
+        "small_languages": "languages_l_100_scheme_hosts",
+        "num_large_languages": "num_languages_ge_100_scheme_hosts",
+        "num_small_languages": "num_languages_l_100_scheme_hosts",
+    })
+    return _beside([
+        lists, counted, hosts,
+        _classes(classes, "topic"), _classes(classes, "question_type"), kept,
+    ])
 
 
 def write_statistics(report: DataFrame, hosts: DataFrame, path: str) -> None:

@@ -275,6 +275,7 @@ def _(spark, sf):
 SELECT (SELECT count(*) FROM faq) AS qa_pairs, (SELECT count(*) FROM faq WHERE language = 'fra') AS qa_pairs_fra,
   (SELECT round(avg(length(question)), 4) FROM faq) AS avg_question,
   (SELECT count(*) FROM label_rows WHERE topic = 'quality 1' AND language IN {LARGE_SQL}) AS topic_1,
+  (SELECT count(*) FROM label_rows WHERE topic = 'quality 1' AND language = 'eng') AS topic_1_eng,
   (SELECT count(*) FROM flagged WHERE filter OR near_duplicate_similarity >= 0.75) AS filtered_075,
   (SELECT count(*) FROM (SELECT scheme_host FROM flagged WHERE NOT filter GROUP BY scheme_host
     HAVING count(DISTINCT language) > 1)) AS hosts""", _FLAGGED))
@@ -285,7 +286,8 @@ def _(spark, sf):
     schema = (
         "qa_pairs_overall long, qa_pairs_per_language map<string,long>, "
         "question_lengths_overall struct<avg: double>, qa_pairs_per_topic_overall map<string,long>, "
-        "`qa_pairs_filtered_kept_overall_0.75` struct<filtered: long, kept: long>"
+        "qa_pairs_per_topic_and_language map<string,map<string,long>>, "
+        "`qa_pairs_filtered/unfiltered_overall (0.75)` array<long>"
     )
     hosts = spark.read.text(f"{path}/scheme_hosts_languages").agg(F.count(F.lit(1)).alias("hosts"))
     report = spark.read.schema(schema).json(f"{path}/statistics").select(
@@ -293,7 +295,8 @@ def _(spark, sf):
         F.col("qa_pairs_per_language")["fra"].alias("qa_pairs_fra"),
         F.round("question_lengths_overall.avg", 4).alias("avg_question"),
         F.col("qa_pairs_per_topic_overall")["quality 1"].alias("topic_1"),
-        F.col("`qa_pairs_filtered_kept_overall_0.75`.filtered").alias("filtered_075"),
+        F.col("qa_pairs_per_topic_and_language")["eng"]["quality 1"].alias("topic_1_eng"),
+        F.col("`qa_pairs_filtered/unfiltered_overall (0.75)`")[0].alias("filtered_075"),
         F.lit(1).alias("one"))
     # Two one-row tables.
     return report.join(hosts.withColumn("one", F.lit(1)), "one").drop("one")

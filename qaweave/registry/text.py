@@ -353,11 +353,10 @@ def _trained_detector(spark, sf):
     return clean.model_detector(model)
 
 
-@query("detect_language", None)
+@query("detect_language", sql("SELECT pos, language FROM pairs"))
 def _(spark, sf):
     rows = A.pairs(spark, sf).select("pos", "question", "answer")
-    return clean.detect_language(rows, _trained_detector(spark, sf)).select(
-        "pos", "language", F.round("confidence", 6).alias("confidence"))
+    return clean.detect_language(rows, _trained_detector(spark, sf)).select("pos", "language")
 
 
 _QA_ROWS = f"""
