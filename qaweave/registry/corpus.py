@@ -37,7 +37,7 @@ def _(spark, sf):
 
 @query("merge_extend", sql("""
 SELECT language, id, url, late, part, row FROM (
-  SELECT *, false AS late FROM parts WHERE part >= 'src15'
+  SELECT *, false AS late FROM parts WHERE part >= 'src5'
   UNION ALL SELECT language, id, replace(url, '/src3', '/src15'), part, row, true FROM (
     SELECT * FROM parts WHERE part < 'src5'
     QUALIFY row_number() OVER (PARTITION BY language, id ORDER BY url, part, row) = 1))
@@ -46,7 +46,7 @@ def _(spark, sf):
     rows = _parts(spark, sf)
     earlier = dedup.merge_parts(rows.filter("part < 'src5'")).drop("late").withColumn(
         "url", F.replace(F.col("url"), F.lit("/src3"), F.lit("/src15")))
-    return dedup.merge_parts(rows.filter("part >= 'src15'"), earlier)
+    return dedup.merge_parts(rows.filter("part >= 'src5'"), earlier)
 
 
 @query("merge_order", sql("""

@@ -178,10 +178,11 @@ def _(spark, sf):
 
 
 @query("attach_scores", sql("""
-SELECT s.pos1, s.pos2, s.similarity, CASE WHEN s.pos1 % 3 = 0 THEN -2 ELSE p.score END AS score
+SELECT s.pos1, s.pos2, s.similarity, CASE WHEN s.score = -2 THEN -2 ELSE p.score END AS score
 FROM scores s JOIN parsed p USING (pos1, pos2)""", _SCORES, _REPLIES, _PARSED))
 def _(spark, sf):
-    replies = _replies(spark, sf).filter("pos1 % 3 <> 0").select("pos1", "pos2", "reply")
+    # Only sampled pairs were sent out, so only they have a reply.
+    replies = _replies(spark, sf).filter("score <> -2").select("pos1", "pos2", "reply")
     return P.attach_scores(_scores(spark, sf).drop("score"), replies, ["pos1", "pos2"]).select(
         "pos1", "pos2", "similarity", "score")
 

@@ -116,9 +116,10 @@ def _write_set(spark, sf, task, language, path):
         F.col("query_id").alias(layout.query_id), F.col("text").alias(layout.query_text)), "queries", "queries")
     save(_corpus(spark, sf).filter(only).select(
         F.col("doc_id").alias(layout.doc_id), F.lit("t").alias("title"), "text"), "corpus", "corpus")
-    # The query's rows in order of position, in one file for this small check of
-    # "last row wins"; unread ids show that unjudged queries are dropped.
-    judged = _qrels(spark, sf).filter(only).filter(F.col("pos") % 3 > 0)
+    # Judgements exist for rows with a label, so some queries are not judged; rows
+    # stand in order of position, as the last one counts.
+    labelled = A.table(spark, sf, "labels").select(F.col("doc_id").alias("pos"))
+    judged = _qrels(spark, sf).filter(only).join(labelled, "pos", "left_semi")
     save(judged.orderBy("pos", "score").select(
         F.col("query_id").alias(layout.judged_query), F.col("doc_id").alias(layout.judged_doc), "score"),
         "qrels", layout.split)
@@ -128,7 +129,7 @@ _TASKS = [("own", "eng"), ("passages", "fra"), ("named", "deu"), ("pooled", "spa
 
 
 @query("load_retrieval_set", sql("""
-, j AS (SELECT * FROM qrels WHERE pos % 3 > 0),
+, j AS (SELECT * FROM qrels WHERE pos IN (SELECT doc_id FROM labels)),
 own AS (SELECT query_id, max_by(doc_id, pos) AS doc_id, max_by(score, pos) AS score FROM j WHERE language = 'eng' GROUP BY query_id)
 SELECT 'qrels' AS kind, 'eng' AS language, query_id AS id, doc_id || ' ' || score AS content FROM own
 UNION ALL SELECT 'qrels', language, query_id, doc_id || ' ' || score FROM j WHERE language <> 'eng'

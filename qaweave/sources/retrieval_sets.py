@@ -91,8 +91,12 @@ def load_retrieval_set(spark: SparkSession, path: str, task: str, language: str,
     queries = spark.read.schema(query_schema).json(
         f"{path}/{language}-queries/{query_split}.jsonl")
     qrels = spark.read.schema(judged).json(f"{path}/{language}-qrels/{layout.split}.jsonl")
-    # File order decides the last judgement; written out by the aggregation.
-    qrels = qrels.withColumn("pos", F.monotonically_increasing_id())
+    # File order decides the last judgement: file, split of the file, row of the split.
+    place = F.struct(
+        F.col("_metadata.file_name"), F.col("_metadata.file_block_start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    qrels = qrels.withColumn("pos", place)
     return map_retrieval_set(queries, corpus, qrels, layout)
 
 
