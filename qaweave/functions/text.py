@@ -116,7 +116,7 @@ def decode_literals(df: DataFrame, column: str) -> DataFrame:
 
 
 def strip_angles(col: Column) -> Column:
-    return F.regexp_replace(col, r"\A[<>]+|[<>]+\z", "")
+    return F.btrim(col, F.lit("<>"))
 
 
 # ---------------------------------------------------------------- cleaning
