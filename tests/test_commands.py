@@ -28,3 +28,26 @@ def test_extract_to_candidates(spark, tmp_path):
         main([name, root])
     assert spark.read.text(f"{root}/statistics/statistics").count() == 1
     main(["annotate", root, "topic"])
+
+
+def test_retrieval_and_training(spark, tmp_path):
+    from qaweave.registry.retrieval import _write_set
+
+    root, sets = str(tmp_path / "data"), str(tmp_path / "sets")
+    _write_set(spark, SF, "own", "eng", sets)
+    for name in ("generate-jsonl", "evaluate", "sample"):
+        main([name, root, sets, "own", "eng"])
+    result = spark.read.parquet(f"{root}/results").first()
+    assert result.language == "eng" and 0.0 <= result.value <= 1.0
+    assert spark.read.parquet(f"{root}/fine_tune").count() > 0
+    main(["batches", root])
+    assert spark.read.parquet(f"{root}/batches").count() % 128 == 0
+
+
+def test_scores_to_bitexts(spark, tmp_path):
+    from qaweave.registry.pairs import _scores
+
+    root = str(tmp_path)
+    _scores(spark, SF).drop("pos1", "pos2").write.json(f"{root}/scores")
+    main(["assess", root])
+    main(["transform", root])
