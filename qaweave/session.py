@@ -25,12 +25,16 @@ def local_session(cores: str = "8", name: str = "qaweave") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a scratch folder is made
-    only where none is set, as in tests."""
+    """The folder that the cluster names for checkpoints. Where none is set, a local
+    session gets a scratch folder; a cluster gets an error, as its executors would
+    write to disks that the others cannot read."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -47,3 +51,11 @@ def settle(df: DataFrame) -> DataFrame:
     and a lost executor cannot make the branches disagree."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a result as a Parquet table in the shared folder and read it back:
+    later readers prune its columns, and a lost executor costs them nothing."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
