@@ -111,17 +111,14 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.01, id_col: st
     keys = stored(keyed(docs, id_col, text_col), "shard-keys")
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
     cuts = splitters(keys, total, shards, tolerance) if total and shards > 1 else []
-    runs = keys.withColumn("bin", F.substring("key", 1, STEP))
-    starts = F.array(*[F.struct(F.lit(c[:STEP]).alias("bin"), F.lit(c).alias("cut")) for c in cuts])
-    if cuts:
-        by_bin = F.aggregate(starts, F.lit(0), lambda n, s: n + (F.col("key") >= s["cut"]).cast("int"))
-        runs = runs.withColumn("shard", by_bin)
-    else:
-        runs = runs.withColumn("shard", F.lit(0))
-    heavy = runs.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n"))
+    cuts_at_or_below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
+    runs = keys.withColumn("bin", F.substring("key", 1, STEP)).withColumn("shard", cuts_at_or_below)
+    # At most one row for each of the 65,536 bins and each splitter, so it can be broadcast.
+    heavy = runs.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > run_rows)
     runs = (
-        runs.join(heavy, ["shard", "bin"])
-        .withColumn("part", F.when(F.col("n") > run_rows, F.pmod(F.xxhash64("doc_id", F.lit("run")), F.ceil(F.col("n") / run_rows))).otherwise(0))
+        runs.join(F.broadcast(heavy), ["shard", "bin"], "left")
+        .withColumn("part", F.when(F.col("n").isNotNull(), F.pmod(
+            F.xxhash64("doc_id", F.lit("run")), F.ceil(F.col("n") / run_rows))).otherwise(0))
     )
     counts = runs.groupBy("shard", "bin", "part").agg(F.count(F.lit(1)).alias("rows"))
     ahead = Window.partitionBy("shard").orderBy("bin", "part").rowsBetween(Window.unboundedPreceding, -1)
