@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaweave.llm import exact_dedup, mixing, sharding
+from qaweave.llm import exact_dedup, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,6 +40,12 @@ def op2_mix_sources(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op3_simhash(spark, sf_dir):
+    return simhash.near_dedup(documents(spark, sf_dir)).select(
+        "doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @query
 def op10_shard(spark, sf_dir):
     """Near equal bytes in 40 shards."""
