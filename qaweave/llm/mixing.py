@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from qaweave.llm.ranks import ranked
 from qaweave.llm.texts import WORD, row_key
 from qaweave.session import stored
 
@@ -120,19 +121,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     dealt = (
         sized.withColumn("draw", draw)
         .join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
-        .withColumn("run", F.pmod(F.shiftright("draw", 20), F.ceil(F.col("docs") / run_rows)))
-    )
-    counts = dealt.groupBy("source", "size", "run").agg(F.count(F.lit(1)).alias("rows"))
-    before = Window.partitionBy("source", "size").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(
-        F.col("source").alias("s"), F.col("size").alias("z"), F.col("run").alias("r"),
-        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("ahead"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "run").orderBy("draw"))
-    picked = (
-        dealt.withColumn("rank", rank)
-        .join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("run") == F.col("r")))
-        .withColumn("times", F.when(F.col("size") == 0, 0).otherwise(
-            F.col("base") + (F.col("ahead") + F.col("rank") <= F.col("take")).cast("int")))
     )
+    picked = ranked(dealt, ["source", "size"], "docs", "draw", run_rows).withColumn(
+        "times", F.when(F.col("size") == 0, 0).otherwise(F.col("base") + (F.col("rank") < F.col("take")).cast("int")))
     return picked.select("id", "th", "doc_id", "source", "size", "source_size", "target", "times",
                          (F.col("size") * F.col("times")).alias("taken"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaweave.llm import exact_dedup, mixing, sharding, simhash
+from qaweave.llm import exact_dedup, mixing, packing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,6 +46,11 @@ def op3_simhash(spark, sf_dir):
         "doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op6_pack(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), capacity=2048)
+
+
 @query
 def op10_shard(spark, sf_dir):
     """Near equal bytes in 40 shards."""

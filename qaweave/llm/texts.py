@@ -6,7 +6,8 @@ A word is a longest run of characters other than the blank and U+0009 to U+000D;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,15 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def kept_in_worker(name: str, make: Callable):
+    """What `make` returns, made once in a Python worker. A worker runs many tasks, and
+    each brings its own copy of this module; `sys` is what they share."""
+    kept = sys.__dict__.setdefault("_qaweave_kept", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """What tells rows apart: the id (a missing one last) and a hash of the text (a
     missing one empty). Rows alike in both get the same decisions."""
