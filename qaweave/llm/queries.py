@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaweave.llm import exact_dedup, mixing, packing, sharding, simhash
+from qaweave.llm import exact_dedup, line_dedup, mixing, packing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,6 +46,13 @@ def op3_simhash(spark, sf_dir):
         "doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_line_dedup(spark, sf_dir):
+    return line_dedup.line_dedup(documents(spark, sf_dir)).select(
+        "doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query
 def op6_pack(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), capacity=2048)
