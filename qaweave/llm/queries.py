@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaweave.llm import exact_dedup, line_dedup, mixing, packing, sharding, simhash, substring_dedup
+from qaweave.llm import exact_dedup, line_dedup, mixing, packing, quality, sharding, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,6 +77,13 @@ def op6_pack(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), capacity=2048)
 
 
+@query
+def op9_quality(spark, sf_dir):
+    return quality.quality(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "chars_per_token", "byte_share", "entropy")
+
+
 @query
 def op10_shard(spark, sf_dir):
     """Near equal bytes in 40 shards."""
