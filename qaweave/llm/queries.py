@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaweave.llm import exact_dedup, line_dedup, mixing, packing, quality, sharding, simhash, substring_dedup
+from qaweave.llm import exact_dedup, line_dedup, mixing, packing, quality, secrets, sharding, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,6 +77,16 @@ def op6_pack(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), capacity=2048)
 
 
+@query
+def op7_secrets(spark, sf_dir):
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return secrets.find_secrets(documents(spark, sf_dir)).select(
+        "doc_id", *map(count, ("assign", "access", "hex")),
+        F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
 @query
 def op9_quality(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir)).select(
