@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaweave.llm import exact_dedup, line_dedup, mixing, packing, quality, secrets, sharding, simhash, substring_dedup
+from qaweave.llm import exact_dedup, line_dedup, mixing, packing, quality, secrets, sharding, simhash, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,6 +87,12 @@ def op7_secrets(spark, sf_dir):
         F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
 
+@query
+def op8_toxicity(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.toxicity(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op9_quality(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir)).select(
