@@ -13,8 +13,8 @@ from qaweave.llm import line_dedup, mixing, packing, quality, simhash
 from qaweave.llm.texts import WORD, row_key
 from qaweave.session import stored
 
-#: Near-duplicate stage: words of a shingle; fingerprints link at up to 3 differing bits.
-SHINGLE_WORDS, BITS = 5, 3
+#: Near-duplicate stage: words of a shingle, least similarity, columns of a fingerprint.
+SHINGLE_WORDS, SIMILARITY, FINGERPRINT_WORDS = 5, 0.8, 4
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -46,9 +46,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one document stays: the one of least doc_id (a
     missing one last), then of least hash of its text; of repeated rows one."""
-    found = simhash.near_dedup(docs, BITS, SHINGLE_WORDS)
-    groups = found.select("id", "th", F.coalesce("component_id", F.col("fp")).alias("g"), F.col("component_id").isNull().alias("anonymous"))
-    first = stored(groups.groupBy("g", "anonymous").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th"), "near-firsts")
+    distance = simhash.distance_of(SIMILARITY, FINGERPRINT_WORDS)
+    found = simhash.near_dedup(docs, distance, SHINGLE_WORDS, words=FINGERPRINT_WORDS)
+    first = stored(found.groupBy("node").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th"), "near-firsts")
     return _decided(docs, first).transform(_one_of_each)
 
 
