@@ -43,20 +43,23 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, mos
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 8192) -> np.ndarray:
     """How many documents of each length to take so that their words come as near below
     `budget` as the lengths allow: even shares first, then single documents in order of
-    their lost fraction until the rest is small, then a bounded knapsack over the rest.
+    their lost fraction until the rest is small, then a bounded knapsack over the rest. A
+    budget within the window is all knapsack, and the sum is then the best there is.
     """
     total = sum(int(a) * int(n) for a, n in zip(lengths, counts))
     if budget <= 0 or not total:
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.astype(np.int64)
-    exact = [(int(n) * budget) for n in counts]
+    # Half a window is held back, so that the knapsack has room to choose.
+    even = max(0, budget - window // 2)
+    exact = [(int(n) * even) for n in counts]
     take = np.array([x // total for x in exact], np.int64)
     rest = budget - sum(int(a) * int(k) for a, k in zip(lengths, take))
     for i in sorted(range(len(lengths)), key=lambda i: (-(exact[i] % total), int(lengths[i]))):
         if rest <= window:
             break
-        if take[i] < counts[i] and lengths[i] <= rest - window // 2:
+        if take[i] < counts[i] and lengths[i] <= rest - window // 4:
             take[i] += 1
             rest -= int(lengths[i])
     # Reachable sums as bits; the items of a length in powers of two.
