@@ -21,6 +21,8 @@ LEAST_WORDS, MOST_REPEATED = 10, 20
 #: A band's scale is at least this, so that a group without spread rejects nothing near it.
 LEAST_SCALE = {"chars_per_token": 0.02, "entropy": 0.05, "byte_share": 0.05}
 
+ALL_SIZES = -1
+
 _RULES = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
                     ("n_repeat_words", pa.int64()), ("tokens", pa.int64()), ("byte_tokens", pa.int64()), ("entropy", pa.float64())])
 
@@ -114,10 +116,11 @@ def base_failed() -> Column:
 def bands(rows: DataFrame, width: float, least_docs: int) -> DataFrame:
     """lang, size_class and the bounds of each measure: median and `width` times the median
     deviation (as a standard deviation) over all documents of a language and size that pass
-    the base rules. Groups of fewer documents than `least_docs` have no band."""
+    the base rules, and over those of all its sizes (size_class ALL_SIZES). Groups of fewer
+    documents than `least_docs` have no band."""
     names = list(LEAST_SCALE)
     keys = ["lang", "size_class"]
-    fit = rows.filter("not base_failed")
+    fit = rows.filter("not base_failed").withColumn("size_class", F.explode(F.array("size_class", F.lit(ALL_SIZES))))
     middle = stored(fit.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("docs"), *[F.percentile_approx(m, 0.5, 1000).alias(f"{m}_mid") for m in names]
     ).filter(F.col("docs") >= least_docs).select(*[F.col(k).alias(f"m_{k}") for k in keys], *[f"{m}_mid" for m in names]), "band-middles")
@@ -143,7 +146,8 @@ def quality(docs: DataFrame, width: float = 4.0, least_docs: int = 50, tokenizer
     from all documents, by mergeable quantile sketches.
 
     A missing text is empty and fails the base rules; a missing language is a group of its
-    own; groups too small for a band reject by the base rules only. Repeated rows each get
+    own; sizes too rare for a band take the language's for all sizes (entropy aside), and
+    languages too rare for one reject by the base rules only. Repeated rows each get
     a row and count each. An empty table gives an empty result. Other columns are not read.
     """
     rows = stored(measures(docs, tokenizer, 5, id_col, text_col, lang_col), "measures").withColumns({
@@ -153,7 +157,21 @@ def quality(docs: DataFrame, width: float = 4.0, least_docs: int = 50, tokenizer
         "size_class": F.floor(F.log2(F.greatest("tokens", F.lit(16)))).cast("int"),
     })
     limits = stored(bands(rows, width, least_docs), "bands")
-    inside = [F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")) for m in LEAST_SCALE]
-    joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("b_lang")) & (F.col("size_class") == F.col("b_size_class")), "left")
-    verdict = F.col("b_size_class").isNull() | (inside[0] & inside[1] & inside[2])
+    # A size without a band takes its language's, but for the entropy, which goes with size.
+    wide = limits.filter(F.col("b_size_class") == ALL_SIZES).drop("b_size_class").withColumnsRenamed(
+        {c: f"all_{c}" for c in limits.columns if c != "b_size_class"})
+    joined = (
+        rows.join(limits, F.col("lang").eqNullSafe(F.col("b_lang")) & (F.col("size_class") == F.col("b_size_class")), "left")
+        .join(wide, F.col("lang").eqNullSafe(F.col("all_b_lang")) & F.col("b_size_class").isNull(), "left")
+    )
+
+    def inside(m: str) -> Column:
+        own = F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
+        low, high = F.col(f"all_{m}_low"), F.col(f"all_{m}_high")
+        # A mean over few tokens strays more.
+        stray = F.greatest(F.lit(1.0), F.sqrt(F.lit(256) / F.greatest("tokens", F.lit(1))))
+        other = F.abs(F.col(m) - (low + high) / 2) <= (high - low) / 2 * stray
+        return F.coalesce(own, F.lit(True) if m == "entropy" else other, F.lit(True))
+
+    verdict = inside("chars_per_token") & inside("byte_share") & inside("entropy")
     return joined.select(*rows.columns, (~F.col("base_failed") & verdict).alias("kept"))
