@@ -9,18 +9,23 @@ Tables are parquet; candidates, scores and bitexts are JSON lines.
 from __future__ import annotations
 
 import argparse
+import importlib
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaweave import schemas
 from qaweave.operators import clean, dedup, embed, labels, neardup, parallel, runs, sampling, stats
-from qaweave.plans.evaluate import evaluate_sparse
+from qaweave.operators.ranking import bm25_topk, dense_topk
+from qaweave.plans.evaluate import RUN_DEPTH, evaluate_dense, evaluate_hybrid, evaluate_sparse
 from qaweave.plans.extract import extract_faq
 from qaweave.plans.mine import mine_pairs
 from qaweave.plans.report import statistics_report, write_statistics
 from qaweave.sources import lines as L
-from qaweave.sources.entity_store import checkpoint_entities
+from qaweave.session import stored
+from qaweave.sources.entity_store import checkpoint_entities, stored_files
 from qaweave.sources.retrieval_sets import load_retrieval_set, write_retrieval_set
 
 
@@ -36,15 +41,28 @@ class Folder:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def has(self, name: str) -> bool:
+        try:
+            self.read(name)
+        except AnalysisException:
+            return False
+        return True
+
     def save(self, df: DataFrame, name: str, mode: str = "overwrite") -> None:
         df.write.mode(mode).partitionBy("language").parquet(self.path(name))
 
+    def replace(self, df: DataFrame, name: str, *keys: str) -> None:
+        """Puts rows in place of earlier ones with the same keys; others stay."""
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(self.path(name))
+
 
 def extract(f: Folder, a) -> None:
     """Quad files with a prefix to parts; the language model is trained on a
     parquet table (text, language)."""
-    lines = L.read_quad_lines(f.spark, f.path("downloads"), a.prefix)
-    store = checkpoint_entities(f.spark, lines, f.path(f"entities/{a.prefix}"))
+    entities = f.path("entities")
+    done = stored_files(f.spark, entities)
+    lines = L.read_quad_lines(f.spark, f.path("downloads"), a.prefix, done)
+    store = checkpoint_entities(f.spark, lines, entities).filter(F.col("file").startswith(a.prefix))
     known = f.spark.read.parquet(a.language_table)
     detector = clean.model_detector(clean.train_language_model(known, "text", "language"))
     L.write_by_language(extract_faq(store, detector), f.path("parts"), "parquet")
@@ -54,17 +72,36 @@ def merge(f: Folder, a) -> None:
     parts = f.read("parts").withColumn("part", F.col("file")).withColumn("row", F.col("pos"))
     earlier = None
     if a.extend:
-        earlier = f.read(a.extend).withColumns({"part": F.lit("~"), "row": F.col("pos")})
+        # A copy, as the corpus may extend itself: a failed write leaves it in the shared folder.
+        earlier = stored(f.read(a.extend).withColumns({"part": F.lit("~"), "row": F.col("pos")}), "earlier")
     merged = dedup.in_merge_order(dedup.merge_parts(parts.drop("pos"), earlier))
     L.write_merged(merged.drop("late", "part", "row", "file", "pos"), f.path("faq"))
 
 
+def _encoder(name: str | None):
+    """An encoder factory named as module:function; without a name the built-in one."""
+    if not name:
+        return None
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)()
+
+
+def _embed(f: Folder, name: str, make) -> None:
+    """Vectors for the rows of the corpus that have none yet."""
+    if f.has(name):
+        f.save(embed.embed_missing(f.read("faq"), f.read(name), make), name, "append")
+    else:
+        f.save(make(f.read("faq")), name)
+
+
 def embed_text(f: Folder, a) -> None:
-    f.save(embed.embed_text(f.read("faq")), "embeddings")
+    encoder = _encoder(a.encoder)
+    _embed(f, "embeddings", lambda df: embed.embed_text(df, encoder))
 
 
 def embed_qa(f: Folder, a) -> None:
-    f.save(embed.embed_qa(f.read("faq")), "retrieval_embeddings")
+    encoder = _encoder(a.encoder)
+    _embed(f, "retrieval_embeddings", lambda df: embed.embed_qa(df, encoder, encoder))
 
 
 def near_duplicates(f: Folder, a) -> None:
@@ -120,13 +157,23 @@ def _with_language(tables, language):
 
 
 def generate_jsonl(f: Folder, a) -> None:
-    write_retrieval_set(*load_retrieval_set(f.spark, a.sets, a.task, a.language), f.path("bm25"))
+    """A folder for each task and language."""
+    tables = load_retrieval_set(f.spark, a.sets, a.task, a.language)
+    write_retrieval_set(*tables, f.path(f"bm25/{a.task}/{a.language}"))
 
 
 def evaluate(f: Folder, a) -> None:
-    tables = load_retrieval_set(f.spark, a.sets, a.task, a.language)
-    out = evaluate_sparse(*_with_language(tables, a.language), a.task)
-    f.save(out, "results", "append")
+    """Results of the languages named (joined by commas), in one job: BM25, and with an
+    encoder the dense and the fused run. Earlier results of the same entries are replaced."""
+    sets = [_with_language(load_retrieval_set(f.spark, a.sets, a.task, x), x) for x in a.language.split(",")]
+    queries, corpus, qrels = (reduce(DataFrame.unionByName, tables) for tables in zip(*sets))
+    out = evaluate_sparse(queries, corpus, qrels, a.task)
+    if a.encoder:
+        encoded = embed.encoded_set(queries, corpus, _encoder(a.encoder))
+        sparse, dense = bm25_topk(queries, corpus, RUN_DEPTH), dense_topk(*encoded, RUN_DEPTH)
+        out = out.unionByName(evaluate_dense(*encoded, qrels, a.task, a.encoder)).unionByName(
+            evaluate_hybrid(sparse, dense, qrels, a.task))
+    f.replace(out, "results", "task", "language", "model")
 
 
 def sample(f: Folder, a) -> None:
@@ -136,11 +183,11 @@ def sample(f: Folder, a) -> None:
     placed.write.mode("overwrite").parquet(path)
     chosen = sampling.circular_sample(f.spark.read.parquet(path))
     pairs = sampling.training_pairs(chosen, q, c).select("language", "sample_pos", "query", "positive")
-    f.save(pairs, "fine_tune", "append")
+    f.replace(pairs.withColumn("task", F.lit(a.task)), "fine_tune", "task", "language")
 
 
 def batches(f: Folder, a) -> None:
-    rows = f.read("fine_tune").withColumnRenamed("sample_pos", "pos")
+    rows = f.read("fine_tune").drop("task").withColumnRenamed("sample_pos", "pos")
     sampling.in_batch_order(sampling.monolingual_batches(rows)).write.mode("overwrite").parquet(
         f.path("batches"))
 
@@ -169,16 +216,18 @@ def train_labels(f: Folder, a) -> None:
     texts = labels.label_text(f.read("faq").withColumn("label", F.lit(1)), with_answer)
     f.save(labels.predict_labels(texts, model, a.kind).select("language", "id", a.kind),
            f"labels_{a.kind}")
+    if f.has("labels_topic") and f.has("labels_question_type"):
+        f.save(f.read("labels_topic").join(f.read("labels_question_type"), ["language", "id"]), "labels")
 
 
 COMMANDS = {
     "extract": (extract, ["prefix", "language_table"]), "merge": (merge, ["--extend"]),
-    "embed-text": (embed_text, []), "embed-qa": (embed_qa, []),
+    "embed-text": (embed_text, ["--encoder"]), "embed-qa": (embed_qa, ["--encoder"]),
     "near-duplicates": (near_duplicates, []), "offsets": (offsets, []),
     "statistics": (statistics, []), "candidates": (candidates, []),
     "score": (score, ["--replies"]), "assess": (assess, []), "transform": (transform, []),
     "generate-jsonl": (generate_jsonl, ["sets", "task", "language"]),
-    "evaluate": (evaluate, ["sets", "task", "language"]),
+    "evaluate": (evaluate, ["sets", "task", "language", "--encoder"]),
     "sample": (sample, ["sets", "task", "language"]), "batches": (batches, []),
     "annotate": (annotate, ["kind", "--replies"]), "train-labels": (train_labels, ["kind"]),
 }

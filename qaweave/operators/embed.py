@@ -76,3 +76,12 @@ def query_text(df: DataFrame, instruction: str = C.QUERY_INSTRUCTION) -> DataFra
     return df.withColumn(
         "query", F.concat(F.lit(f"Instruct: {instruction}\nQuery: "), F.col("text"))
     )
+
+
+def encoded_set(queries: DataFrame, corpus: DataFrame, factory=None) -> tuple[DataFrame, DataFrame]:
+    """Query and passage vectors of a retrieval set."""
+    encode = factory or hashed_grams()
+    return (
+        query_text(queries).select("language", "query_id", _encoded(encode, F.col("query")).alias("embedding")),
+        passage_text(corpus).select("language", "doc_id", _encoded(encode, F.col("passage")).alias("embedding")),
+    )

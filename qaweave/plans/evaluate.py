@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from qaweave.operators import metrics as M
 from qaweave.operators import ranking as R
 
+#: Documents of a run that is measured at all cutoffs or fused.
+RUN_DEPTH = 1000
+
 
 def _entries(values: DataFrame, task: str, model: str) -> DataFrame:
     return M.mean_metric(values).select(
@@ -24,7 +27,7 @@ def evaluate_sparse(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, tas
 
 
 def evaluate_dense(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, task: str,
-                   model: str, k: int = 1000) -> DataFrame:
+                   model: str, k: int = RUN_DEPTH) -> DataFrame:
     """All metrics at all cutoffs for vector tables."""
     return _entries(M.cutoff_metrics(R.dense_topk(queries, corpus, k), qrels), task, model)
 

@@ -49,7 +49,7 @@ found AS (
   SELECT 'part-' || source AS file, {_GRAPH} AS graph, question,
     max(pos) AS doc, min(pos) * 8 + 2 AS pos FROM pairs WHERE question <> '' GROUP BY ALL),
 joined AS (
-  SELECT f.file, f.graph, f.question, f.pos, p.answer, p.scheme_host
+  SELECT f.file, f.graph, f.question, f.pos, p.answer, p.scheme_host, p.language
   FROM found f JOIN pairs p ON p.pos = f.doc)
 """
 _FILTER = """length(question) >= 10 AND length(answer) >= 30 AND NOT contains(answer, '?')
@@ -361,21 +361,21 @@ def _(spark, sf):
 
 _QA_ROWS = f"""
 cleaned AS (
-  SELECT file, graph AS url, scheme_host, pos, {CLEAN_Q} AS question, {CLEAN_A} AS answer
+  SELECT file, graph AS url, scheme_host, pos, {CLEAN_Q} AS question, {CLEAN_A} AS answer, language
   FROM joined WHERE {_FILTER})
 """
 
 
-@query("qa_rows", sql("SELECT * FROM cleaned", QA_CTE, _QA_ROWS))
+@query("qa_rows", sql("SELECT * EXCLUDE (language) FROM cleaned", QA_CTE, _QA_ROWS))
 def _(spark, sf):
     return qa_rows(_entities(spark, sf))
 
 
 @query("extract_faq", sql(f"""
-SELECT id, url, scheme_host, question, answer, file, pos FROM (SELECT *, {_ID} AS id FROM cleaned)
+SELECT id, url, scheme_host, language, question, answer, file, pos FROM (SELECT *, {_ID} AS id FROM cleaned)
 QUALIFY row_number() OVER (PARTITION BY file, id ORDER BY url, pos) = 1""", QA_CTE, _QA_ROWS))
 def _(spark, sf):
     store = checkpoint_entities(spark, A.quad_lines(spark, sf), A.scratch(spark, "entities"),
                                 entities.QA_PROPERTIES)
-    return extract_faq(store, _trained_detector(spark, sf), 0.0).select(
-        "id", "url", "scheme_host", "question", "answer", "file", "pos")
+    return extract_faq(store, _trained_detector(spark, sf)).select(
+        "id", "url", "scheme_host", "language", "question", "answer", "file", "pos")

@@ -1,6 +1,5 @@
 """Table schemas as DDL text."""
 
-QUADS = "file string, pos long, graph string, subject string, predicate string, object string"
 ENTITIES = (
     "file string, graph string, subject string, pos long, type string, "
     "predicate string, value_pos long, value string"
@@ -9,12 +8,7 @@ FAQ = (
     "id string, url string, scheme_host string, language string, "
     "confidence double, question string, answer string"
 )
-EMBEDDINGS = "id string, embedding array<float>"
-RETRIEVAL_EMBEDDINGS = (
-    "id string, question_embedding array<float>, answer_embedding array<float>"
-)
 FLAGS = "id string, filter boolean, near_duplicate_similarity double"
-LABELS = "id string, topic string, question_type string"
 CANDIDATES = (
     "scheme_host string, similarity double, languages array<string>, "
     "urls array<string>, questions array<string>, answers array<string>, "
@@ -24,6 +18,3 @@ SCORES = CANDIDATES + ", score int"
 QUERIES = "query_id string, text string"
 CORPUS = "doc_id string, title string, text string"
 QRELS = "query_id string, doc_id string, score int"
-RUN = "query_id string, doc_id string, score double"
-ANNOTATIONS = "language string, label int, question string, answer string"
-TRAINING_PAIRS = "query string, positive string"

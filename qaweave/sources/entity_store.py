@@ -1,30 +1,44 @@
-"""Parsed entities are stored once and reused when present."""
+"""Parsed entities are stored once per input file and reused when present."""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from qaweave import schemas
 from qaweave.operators.entities import build_entities
 from qaweave.operators.quads import drop_url_lines, split_lines
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+def store_path(path: str, properties=None) -> str:
+    """A selection of properties has a store of its own."""
+    return f"{path}/{'all' if properties is None else '-'.join(sorted(properties))}"
+
+
+def stored_files(spark: SparkSession, path: str, properties=None) -> list[str]:
+    """Input files whose entities are stored: one name per file. Files are folders of
+    the store, so only names are read."""
     try:
-        spark.read.text(f"{path}/_SUCCESS")
+        rows = spark.read.schema(schemas.ENTITIES).parquet(store_path(path, properties))
     except AnalysisException:
-        return None
-    return spark.read.schema(schemas.ENTITIES).parquet(path)
+        return []
+    return [r.file for r in rows.select("file").distinct().collect()]
 
 
 def checkpoint_entities(spark: SparkSession, lines: DataFrame, path: str,
                         properties=None) -> DataFrame:
-    """Entities of the quad lines. A finished store is read, an unfinished one
-    (no success mark) is written again."""
-    found = _stored(spark, path)
-    if found is None:
-        quads = split_lines(drop_url_lines(lines))
-        build_entities(quads, raw=True, properties=properties).write.mode("overwrite").parquet(path)
-        found = _stored(spark, path)
-    return found
+    """Entities of all stored input files, those of `lines` that are new among them.
+
+    Only lines of files without a stored folder are parsed. A job puts the folders of its
+    files in place when it ends, so a stopped job leaves earlier files as they were and its
+    own to be parsed again. A file without entities has no folder and is parsed each time.
+    """
+    root = store_path(path, properties)
+    done = stored_files(spark, path, properties)
+    new = lines.filter(~F.col("file").isin(done)) if done else lines
+    quads = split_lines(drop_url_lines(new))
+    (build_entities(quads, raw=True, properties=properties).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(root))
+    columns = [c.split()[0] for c in schemas.ENTITIES.split(", ")]
+    return spark.read.schema(schemas.ENTITIES).parquet(root).select(*columns)

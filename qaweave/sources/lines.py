@@ -9,14 +9,17 @@ from pyspark.sql.types import StringType, StructType
 _BROKEN = "_corrupt_record"
 
 
-def read_quad_lines(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
-    """(file, pos, value) of all gz files with the prefix.
+def read_quad_lines(spark: SparkSession, folder: str, prefix: str, without=()) -> DataFrame:
+    """(file, pos, value) of all gz files with the prefix, but for the files `without`,
+    which are not opened.
 
     A gz file is one split, so the running id rises in line order inside a
     file. It is written out with the entities before anything is shuffled."""
+    found = spark.read.option("pathGlobFilter", f"{prefix}*.gz").text(folder)
+    if without:
+        found = found.filter(~F.col("_metadata.file_name").isin([f"{name}.gz" for name in without]))
     return (
-        spark.read.option("pathGlobFilter", f"{prefix}*.gz").text(folder)
-        .select(
+        found.select(
             F.regexp_replace(F.col("_metadata.file_name"), r"\.gz$", "").alias("file"),
             F.monotonically_increasing_id().alias("pos"),
             "value",
@@ -52,11 +55,13 @@ def read_many(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
 
 
 def write_by_language(df: DataFrame, path: str, file_format: str = "json") -> None:
-    """One folder per language and input file, overwritten.
+    """One folder per language and input file. Folders that get rows are replaced, those of
+    other files stay.
 
     A task gets a range of (language, file, id), so folders get few files and a
     frequent language is split by id."""
-    df.repartitionByRange("language", "file", "id").write.mode("overwrite").partitionBy("language", "file").format(file_format).save(path)
+    (df.repartitionByRange("language", "file", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("language", "file").format(file_format).save(path))
 
 
 def write_merged(df: DataFrame, path: str) -> None:

@@ -18,16 +18,24 @@ def test_extract_to_candidates(spark, tmp_path):
     main(["merge", root])
     faq = spark.read.parquet(f"{root}/faq")
     assert faq.count() > 50 and faq.groupBy("language", "id").count().filter("count > 1").count() == 0
-    for name in ("embed-text", "embed-qa"):
+    for name in ("embed-text", "embed-qa", "embed-text"):
         main([name, root])
+    assert spark.read.parquet(f"{root}/embeddings").count() == faq.count()
     main(["near-duplicates", root])
     assert spark.read.parquet(f"{root}/flags").count() == faq.count()
-    faq.select("language", "id", F.lit("t").alias("topic"), F.lit("q").alias("question_type")).write.partitionBy(
-        "language").parquet(f"{root}/labels")
+    for kind in ("topic", "question_type"):
+        known = faq.select("language", F.monotonically_increasing_id().alias("pos"), "question", "answer",
+                           (F.length("question") % 2 + 1).cast("int").alias("label"))
+        known.write.partitionBy("language").parquet(f"{root}/annotations/{kind}")
+        main(["train-labels", root, kind])
+    assert spark.read.parquet(f"{root}/labels").count() == faq.count()
     for name in ("offsets", "statistics", "candidates", "score"):
         main([name, root])
     assert spark.read.text(f"{root}/statistics/statistics").count() == 1
     main(["annotate", root, "topic"])
+    rows = faq.count()
+    main(["merge", root, "--extend", "faq"])
+    assert spark.read.parquet(f"{root}/faq").count() == rows
 
 
 def test_retrieval_and_training(spark, tmp_path):
@@ -35,11 +43,16 @@ def test_retrieval_and_training(spark, tmp_path):
 
     root, sets = str(tmp_path / "data"), str(tmp_path / "sets")
     _write_set(spark, SF, "own", "eng", sets)
-    for name in ("generate-jsonl", "evaluate", "sample"):
-        main([name, root, sets, "own", "eng"])
-    result = spark.read.parquet(f"{root}/results").first()
-    assert result.language == "eng" and 0.0 <= result.value <= 1.0
-    assert spark.read.parquet(f"{root}/fine_tune").count() > 0
+    seen = []
+    for _ in range(2):
+        for name in ("generate-jsonl", "evaluate", "sample"):
+            main([name, root, sets, "own", "eng", *["--encoder", "qaweave.operators.embed:hashed_grams"] * (name == "evaluate")])
+        seen.append([sorted(map(repr, spark.read.parquet(f"{root}/{t}").collect())) for t in ("results", "fine_tune")])
+    assert seen[0] == seen[1] and all(seen[0])
+    results = spark.read.parquet(f"{root}/results").collect()
+    assert {r.language for r in results} == {"eng"} and len({r.model for r in results}) == 3
+    assert all(0.0 <= r.value <= 1.0 for r in results)
+    assert spark.read.text(f"{root}/bm25/own/eng", recursiveFileLookup=True).count() > 0
     main(["batches", root])
     assert spark.read.parquet(f"{root}/batches").count() % 128 == 0
 

@@ -2,12 +2,15 @@
 
 import gzip
 
+import pytest
+from pyspark.sql import functions as F
+
 from qaweave import schemas
 from qaweave.plans.extract import extract_faq
+from qaweave.session import shared_folder
 from qaweave.sources import lines as L
 from qaweave.sources import retrieval_sets as S
-from qaweave.sources.entity_store import checkpoint_entities
-from pyspark.sql import functions as F
+from qaweave.sources.entity_store import checkpoint_entities, stored_files
 
 TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 
@@ -45,15 +48,46 @@ def test_quads_to_faq(spark, tmp_path):
     assert len({r.id for r in out.collect()}) == 1  # equal text in two files is kept until the merge
 
 
-def test_entities_are_stored_once(spark, tmp_path):
-    write_gz(tmp_path / "a.gz", quad_file(1))
-    lines = L.read_quad_lines(spark, str(tmp_path), "a")
+def test_entities_are_stored_once_per_file(spark, tmp_path):
+    write_gz(tmp_path / "a-1.gz", quad_file(1))
     path = str(tmp_path / "store")
-    first = checkpoint_entities(spark, lines, path).count()
+    read = lambda: L.read_quad_lines(spark, str(tmp_path), "a", stored_files(spark, path))
+    first = checkpoint_entities(spark, read(), path).count()
     assert first == 4
-    assert checkpoint_entities(spark, lines.filter("false"), path).count() == first
-    (tmp_path / "store" / "_SUCCESS").unlink()
-    assert checkpoint_entities(spark, lines.filter("false"), path).count() == 0
+    assert read().count() == 0 and checkpoint_entities(spark, read(), path).count() == first
+    write_gz(tmp_path / "a-2.gz", quad_file(2))
+    assert {r.file for r in read().collect()} == {"a-2"}
+    store = checkpoint_entities(spark, read(), path)
+    assert {r.file for r in store.collect()} == {"a-1", "a-2"} and store.count() == 2 * first
+    other = checkpoint_entities(spark, L.read_quad_lines(spark, str(tmp_path), "a"), path, ("name",))
+    assert {r.predicate for r in other.collect()} == {"http://schema.org/name"} and checkpoint_entities(spark, read(), path).count() == 2 * first
+
+
+def test_parts_of_other_files_stay(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    rows = lambda file, *ids: spark.createDataFrame([("eng", file, i) for i in ids], "language string, file string, id string")
+    L.write_by_language(rows("a-1", "x", "y"), path, "parquet")
+    L.write_by_language(rows("b-1", "z"), path, "parquet")
+    L.write_by_language(rows("a-1", "w"), path, "parquet")
+    assert {(r.file, r.id) for r in spark.read.parquet(path).collect()} == {("a-1", "w"), ("b-1", "z")}
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
 
 
 def test_tolerant_json(spark, tmp_path):
