@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qaweave.session import stored
+
 
 def content_hash(text: Column) -> Column:
     """128 bits of the text."""
@@ -22,7 +24,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     holds a third of all rows leaves one row per task. Rows then look up their group by
     the hash and the SHA-256 they carry; the lookup table proves that this pair names
     one text only and stops the job if it does not. So a text crosses the exchange once
-    per map task, and never for the lookup.
+    per map task, and never for the lookup. The table is stored first, which leaves both
+    sides of the lookup plain exchanges that adaptive execution can split at hot keys.
 
     `keep` is the id that stays, "smallest" or "largest". A missing text is empty and
     equal to an empty one. A missing id is never the one that stays unless all ids of
@@ -32,7 +35,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(docs[text_col], F.lit(""))
     pick = {"smallest": F.min, "largest": F.max}[keep]
     base = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), digest(text).alias("h"))
-    groups = (
+    groups = stored(
         base.groupBy("h", "text")
         .agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("h", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
@@ -40,8 +43,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts"))
         .withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(
             F.raise_error(F.lit("two texts share both hashes"))))
-        .drop("texts")
-    )
+        .drop("texts"), "text-groups")
     rows = (
         base.select("doc_id", "h", F.sha2("text", 256).alias("text_sha256"))
         .groupBy("h", "text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
