@@ -39,8 +39,8 @@ def build_entities(quads: DataFrame, raw: bool = False, properties=None) -> Data
     """One row per property value of every entity that has a type.
 
     The last type counts, the first quad fixes the entity's order. With `raw`
-    the objects are still as written and are decoded only where used: types in
-    the first branch, values of kept entities after the join."""
+    the objects are still as written and are decoded only where used: one type
+    per entity after the aggregation, values of kept entities after the join."""
     is_type = F.col("predicate").isin(list(TYPE_PREDICATES))
     decode = decode_objects if raw else (lambda df, column: df)
     typed = quads.select(
@@ -49,11 +49,10 @@ def build_entities(quads: DataFrame, raw: bool = False, properties=None) -> Data
         F.when(is_type, F.col("pos")).alias("type_pos"),
         F.when(is_type, F.col("object")).alias("type_object"),
     )
-    heads = keep_types(
-        decode(typed, "type_object")
-        .groupBy(*_KEY)
-        .agg(F.min("pos").alias("pos"), F.max_by("type_object", "type_pos").alias("type"))
-    )
+    last_types = typed.groupBy(*_KEY).agg(
+        F.min("pos").alias("pos"), F.max_by("type_object", "type_pos").alias("type")
+    ).filter(F.col("type").isNotNull())
+    heads = keep_types(decode(last_types, "type"))
     values = quads.filter(~is_type).withColumnRenamed("pos", "value_pos")
     if properties is not None:
         values = values.filter(is_property("predicate", *properties))

@@ -67,14 +67,17 @@ def annotation_sample(faq: DataFrame, limit: int = C.ANNOTATION_LIMIT + C.ANNOTA
                       min_rows: int = C.ANNOTATION_MIN_ROWS,
                       rows: int = CHUNK_ROWS) -> DataFrame:
     """The first rows of host runs, at most `limit` per language in order;
-    languages with fewer than `min_rows` are left out."""
-    firsts = first_of_run(faq, rows=rows)
+    languages with fewer than `min_rows` are left out. Keys alone are ordered; the
+    rows picked come back by language and position."""
+    firsts = first_of_run(faq.select("language", "pos", "scheme_host"), rows=rows)
     enough = _per_language(firsts, "_n").filter(F.col("_n") >= min_rows).select("language")
-    return (
+    picked = (
         numbered(firsts, ["language"], "pos", "sample_rank", rows)
         .filter(F.col("sample_rank") <= limit)
         .join(enough, "language", "left_semi")
+        .select("language", "pos", "sample_rank")
     )
+    return faq.join(picked, ["language", "pos"])
 
 
 def split_dataset(df: DataFrame, keys: list[str], seed: int = C.SPLIT_SEED) -> DataFrame:
