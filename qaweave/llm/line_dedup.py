@@ -79,7 +79,7 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def line_words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The words of chosen lines (id, th, line, a, b), joined by blanks."""
     per_row = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("line", "a", "b")).alias("want"))
-    keyed = docs.select(*row_key(docs, id_col, text_col), docs[text_col].alias("text")).dropDuplicates(["id", "th"])
+    keyed = docs.select(*row_key(docs, id_col, text_col), docs[text_col].alias("text"))
 
     def run(batches):
         for batch in sliced(batches):
@@ -89,7 +89,9 @@ def line_words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
                 rows += [(w["a"], w["b"], doc_id, w["line"], b" ".join(parts[w["line"]].split())) for w in want]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TEXTS)], schema=_TEXTS)
 
-    return keyed.join(per_row, ["id", "th"]).select("id", "text", "want").mapInArrow(run, _spark(_TEXTS))
+    # Hashing the short side spares a sort of all texts.
+    found = keyed.join(per_row.hint("shuffle_hash"), ["id", "th"]).select("id", "text", "want").mapInArrow(run, _spark(_TEXTS))
+    return found.dropDuplicates(["a", "b"])
 
 
 def variant_hashes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,7 +215,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = removed_lines(docs, id_col, text_col)
     key = row_key(docs, id_col, text_col)
     rows = docs.withColumns({"__id": key[0], "__th": key[1]}).join(
-        gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("removed").alias("__gone")), ["__id", "__th"], "left")
+        gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("removed").alias("__gone")).hint("shuffle_hash"), ["__id", "__th"], "left")
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
