@@ -33,7 +33,7 @@ class WordIds:
 
     _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.most = self.tokenizer.model, most
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]

@@ -31,7 +31,7 @@ class PieceIds:
     """Token ids of words of a SentencePiece vocabulary, each distinct word encoded once;
     at most `most` words are kept."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
         self.most, self.known = most, {}

@@ -38,7 +38,7 @@ def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return [F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("th")]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of a slice hold about `limit` bytes. A longer text
     is a slice of its own, whole."""
     for batch in batches:

@@ -78,7 +78,7 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 class Scorer:
     """Segments of texts; scores of words seen before are kept, `most` at most."""
 
-    def __init__(self, model: LogOdds, most: int = 300_000):
+    def __init__(self, model: LogOdds, most: int = 250_000):
         self.model, self.most = model, most
         self.known: dict[bytes, float] = {}
 
