@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaweave.llm import line_dedup, mixing, packing, quality, simhash
+from qaweave.llm import line_dedup, mixing, packing, quality, similar
 from qaweave.llm.texts import WORD, row_key
 from qaweave.session import stored
 
@@ -45,9 +45,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one document stays: the one of least doc_id (a
-    missing one last), then of least hash of its text; of repeated rows one."""
-    distance = simhash.distance_of(SIMILARITY, FINGERPRINT_WORDS)
-    found = simhash.near_dedup(docs, distance, SHINGLE_WORDS, words=FINGERPRINT_WORDS)
+    missing one last), then of least hash of its text; of repeated rows one. Fingerprints
+    find candidates; links are verified similarities."""
+    found = similar.similar_dedup(docs, SIMILARITY, SHINGLE_WORDS, FINGERPRINT_WORDS)
     first = stored(found.groupBy("node").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th"), "near-firsts")
     return _decided(docs, first).transform(_one_of_each)
 

@@ -209,14 +209,25 @@ def forest(run: np.ndarray, fps: np.ndarray, refs: np.ndarray, distance: int, ab
     return label
 
 
-def links(nodes: DataFrame, columns: list[str], masks: list[tuple[int, ...]], distance: int, pivot_count: int) -> DataFrame:
+def mask_buckets(columns: list[str], masks: list[tuple[int, ...]]) -> Column:
+    """For each mask the bucket of a fingerprint: a hash of its bits under the mask."""
+
+    def signed(m: int) -> int:
+        return m - (1 << 64) if m >= 1 << 63 else m
+
+    return F.array(*[
+        F.xxhash64(F.lit(i), *[F.col(c).bitwiseAND(F.lit(signed(m)).cast("long")) for c, m in zip(columns, mask)])
+        for i, mask in enumerate(masks)])
+
+
+def links(nodes: DataFrame, columns: list[str], buckets: Column, distance: int, pivot_count: int) -> DataFrame:
     """a, b: links between nodes (column node, and the fingerprint's columns) that connect just
-    those that chains of at most `distance` differing bits connect; per bucket a forest,
-    never all pairs.
+    those that chains of at most `distance` differing bits connect, each link within one of
+    the `buckets` (an array) of both; per bucket a forest, never all pairs.
 
     A pivot column alone cannot place rows for an exchange without sending each to most
     places: distances to a pivot spread by a few bits only, cells would be as wide. So
-    fingerprints meet in buckets of equal bits under one of the masks, and the pivot table
+    fingerprints meet in buckets, as of equal bits under one of some masks, and the pivot table
     discards pairs inside the buckets. Buckets pass the task as a sorted stream; one bucket
     at most is held at a time.
     """
@@ -250,13 +261,7 @@ def links(nodes: DataFrame, columns: list[str], masks: list[tuple[int, ...]], di
         if held:
             yield flush(np.concatenate(held))
 
-    def signed(m: int) -> int:
-        return m - (1 << 64) if m >= 1 << 63 else m
-
-    choices = F.array(*[
-        F.xxhash64(F.lit(i), *[F.col(c).bitwiseAND(F.lit(signed(m)).cast("long")) for c, m in zip(columns, mask)])
-        for i, mask in enumerate(masks)])
-    rows = nodes.select(F.explode(choices).alias("bucket"), "node", *columns)
+    rows = nodes.select(F.explode(buckets).alias("bucket"), "node", *columns)
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
@@ -282,7 +287,7 @@ def near_dedup(docs: DataFrame, distance: int = 3, size: int = 3, seed: int = 42
     rows = stored(fingerprint(docs, size, seed, words, id_col, text_col).withColumn("node", node), "fingerprints")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in columns])
     masks = block_masks(6, distance) if words == 1 else sampled_masks(words, distance, key_bits, recall)
-    found = links(nodes.select("node", *columns), columns, masks, distance, 16 if words == 1 else 2)
+    found = links(nodes.select("node", *columns), columns, mask_buckets(columns, masks), distance, 16 if words == 1 else 2)
     roots = components(stored(found, "links")).withColumnRenamed("node", "n")
     rooted = nodes.join(roots, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
