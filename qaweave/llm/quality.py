@@ -115,12 +115,15 @@ def base_failed() -> Column:
 
 def bands(rows: DataFrame, width: float, least_docs: int) -> DataFrame:
     """lang, size_class and the bounds of each measure: median and `width` times the median
-    deviation (as a standard deviation) over all documents of a language and size that pass
-    the base rules, and over those of all its sizes (size_class ALL_SIZES). Groups of fewer
-    documents than `least_docs` have no band."""
+    deviation (as a standard deviation) over all distinct texts of a language and size that
+    pass the base rules, and over those of all its sizes (size_class ALL_SIZES): copies count
+    once, or a text copied often would narrow the band to itself. Groups of fewer texts than
+    `least_docs` have no band."""
     names = list(LEAST_SCALE)
     keys = ["lang", "size_class"]
-    fit = rows.filter("not base_failed").withColumn("size_class", F.explode(F.array("size_class", F.lit(ALL_SIZES))))
+    once = stored(rows.filter("not base_failed").groupBy("lang", "th").agg(
+        *[F.first(c).alias(c) for c in ["size_class", *names]]), "distinct-measures")
+    fit = once.withColumn("size_class", F.explode(F.array("size_class", F.lit(ALL_SIZES))))
     middle = stored(fit.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("docs"), *[F.percentile_approx(m, 0.5, 1000).alias(f"{m}_mid") for m in names]
     ).filter(F.col("docs") >= least_docs).select(*[F.col(k).alias(f"m_{k}") for k in keys], *[f"{m}_mid" for m in names]), "band-middles")
@@ -143,12 +146,12 @@ def quality(docs: DataFrame, width: float = 4.0, least_docs: int = 50, tokenizer
     of byte-fallback tokens and entropy of the tokens are held against the band of the
     text's language and size class (the power of two below its number of tokens, as short
     texts have less entropy); one measure outside rejects, as does a base rule. Bands come
-    from all documents, by mergeable quantile sketches.
+    from the distinct texts of all documents, by mergeable quantile sketches.
 
     A missing text is empty and fails the base rules; a missing language is a group of its
     own; sizes too rare for a band take the language's for all sizes (entropy aside), and
     languages too rare for one reject by the base rules only. Repeated rows each get
-    a row and count each. An empty table gives an empty result. Other columns are not read.
+    a row, and texts count once in a language's bands. An empty table gives an empty result. Other columns are not read.
     """
     rows = stored(measures(docs, tokenizer, 5, id_col, text_col, lang_col), "measures").withColumns({
         "base_failed": base_failed(),

@@ -135,6 +135,21 @@ def test_bands_reject_odd_tokens(table):
     assert not any(got[1000 + i].kept for i in range(8))
 
 
+def test_copies_do_not_narrow_bands(table):
+    rng = random.Random(11)
+    words = sorted({a + b for a in ("hou", "ri", "peo", "coun", "lit", "wa", "thou", "fa") for b in ("se", "ver", "ple", "try", "tle", "ter", "ght", "mily")})
+    texts = []
+    for _ in range(300):
+        own = rng.sample(words, rng.randrange(14, 60))
+        texts.append(" ".join(rng.choice(own) for _ in range(rng.randrange(100, 125))))
+    alone = {r.doc_id: r for r in quality.quality(table([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    copied = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(1000 + i, texts[0], "en", "a") for i in range(1000)]
+    got = {r.doc_id: r for r in quality.quality(table(copied)).collect()}
+    assert len(got) == 1300
+    assert {i: got[i].kept for i in alone} == {i: r.kept for i, r in alone.items()}
+    assert sum(r.kept for r in alone.values()) >= 0.95 * sum(not r.base_failed for r in alone.values())
+
+
 def segments_by_force(scores):
     """Maximal segments: the best one, and the same left and right of it."""
     n = len(scores)
