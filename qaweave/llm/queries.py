@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaweave.llm import exact_dedup, line_dedup, mixing, packing, quality, secrets, sharding, simhash, substring_dedup, toxicity
+from qaweave.llm import exact_dedup, line_dedup, mixing, packing, prefix_trie, quality, secrets, sharding, simhash, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,3 +106,32 @@ def op10_shard(spark, sf_dir):
     return sharding.shard(documents(spark, sf_dir), shards=40).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    c = F.col("conv_id")
+    lists = prefix_trie.rebuilt(
+        prefix_trie.turn_lists(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
+        c - c % 100, F.crc32(c.cast("string").cast("binary")) % 6, most=5)
+    return prefix_trie.prefix_trie(lists).drop("k1", "k2")
+
+
+SQL["op11_prefix_trie"] = r"""
+WITH turns AS (SELECT conv_id, turn, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS t FROM conversations WHERE conv_id IS NOT NULL),
+     lists AS (SELECT conv_id, list(t ORDER BY turn NULLS FIRST, substr(sha256(len(t.r)::varchar || ':' || t.r || t.t), 1, 32)) AS l FROM turns GROUP BY conv_id),
+     crc AS (SELECT *, xor(4294967295, list_reduce(
+         [4294967295::bigint] || list_transform(range(1, len(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i, 1))::bigint),
+         lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h FROM lists),
+     built AS (SELECT c.conv_id, coalesce(b.l[1:c.h], []) || c.l[c.h + 1:] AS l FROM crc c LEFT JOIN lists b ON b.conv_id = c.conv_id - c.conv_id % 100),
+     prefixes AS (SELECT conv_id, d, l[1:d] AS p, len(l) = d AS whole FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM built)),
+     nodes AS (SELECT d AS depth, p, min(conv_id) AS conv_id, count(*) AS n_convs,
+                      sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (whole), '')) AS ends_sha256 FROM prefixes GROUP BY d, p),
+     children AS (SELECT p[1:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+     own AS (SELECT n.*, coalesce(c.n, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(n.p[depth].t) END AS saved
+             FROM nodes n LEFT JOIN children c ON c.p = n.p),
+     subtree AS (SELECT p[1:k] AS p, sum(saved)::bigint AS saved_tokens, sum((n_children = 0)::int)::bigint AS n_leaves
+                 FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM own) GROUP BY 1)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM own n JOIN subtree s ON s.p = n.p LEFT JOIN nodes u ON n.depth > 0 AND u.p = n.p[1:n.depth - 1]
+"""
