@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaweave.llm import exact_dedup, line_dedup, mixing, packing, prefix_trie, quality, secrets, sharding, simhash, substring_dedup, toxicity
+from qaweave.llm import exact_dedup, lexical_search, line_dedup, mixing, packing, prefix_trie, quality, secrets, sharding, simhash, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,3 +135,26 @@ WITH turns AS (SELECT conv_id, turn, {'r': coalesce(role, ''), 't': coalesce(tex
 SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
 FROM own n JOIN subtree s ON s.p = n.p LEFT JOIN nodes u ON n.depth > 0 AND u.p = n.p[1:n.depth - 1]
 """
+
+
+@query
+def op12_lexical_search(spark, sf_dir):
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
+SQL["op12_lexical_search"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+     t AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d),
+     tf AS (SELECT doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+     s AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::bigint AS words FROM d),
+     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+     q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+     hits AS (SELECT item_id, doc_id, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint
+                     * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))) AS x
+              FROM q JOIN df USING (term) JOIN tf USING (term) CROSS JOIN s),
+     scored AS (SELECT item_id, doc_id, sum(x)::bigint AS score FROM hits GROUP BY ALL),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
