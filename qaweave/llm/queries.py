@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaweave.llm import exact_dedup, lexical_search, line_dedup, mixing, packing, prefix_trie, quality, secrets, sharding, simhash, substring_dedup, toxicity
+from qaweave.llm import exact_dedup, lattice_lm, lexical_search, line_dedup, mixing, packing, prefix_trie, quality, secrets, sharding, simhash, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -158,3 +158,8 @@ WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
      ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
 """
+
+
+@query
+def op13_lattice_lm(spark, sf_dir):
+    return lattice_lm.score_documents(documents(spark, sf_dir))
