@@ -25,7 +25,7 @@ MARK = "▁".encode()
 SMOOTHING = 0.1
 _UPPER = bytes(range(65, 91))
 _FOLD = bytes.maketrans(_UPPER, _UPPER.lower())
-_WORDS_AT_ONCE = 200_000
+_WORDS_AT_ONCE = 500_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -33,31 +33,36 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Pieces:
-    """The pieces of a public vocabulary: `find` maps every beginning of a piece to its
-    number, or to -1 where it is no piece itself; `byte` is the piece of each byte."""
+    """The pieces of a public vocabulary as a tree of bytes: step (node * 256 + byte, in
+    order) leads to `child`, and `piece` is the number of a node's piece, or -1. `byte` is
+    the piece of each byte."""
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.find: dict[bytes, int] = {}
-        self.byte = [0] * 256
-        scores, n = [], 0
+        node_of: dict[bytes, int] = {b"": 0}
+        of_node, steps, scores = [-1], [], []
+        self.byte = np.zeros(256, np.int64)
         for i in range(model.get_piece_size()):
             if model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 continue
             name = model.id_to_piece(i)
             if model.is_byte(i):
-                self.byte[int(name[3:5], 16)] = n
+                self.byte[int(name[3:5], 16)] = len(scores)
             else:
                 whole = name.encode()
-                for j in range(1, len(whole)):
-                    self.find.setdefault(whole[:j], -1)
-                self.find[whole] = n
+                for j in range(1, len(whole) + 1):
+                    if whole[:j] not in node_of:
+                        node_of[whole[:j]] = len(of_node)
+                        steps.append((node_of[whole[:j - 1]] * 256 + whole[j - 1], len(of_node)))
+                        of_node.append(-1)
+                of_node[node_of[whole]] = len(scores)
             scores.append(model.get_score(i))
-            n += 1
-        self.size = n
+        self.size = len(scores)
+        self.piece = np.array(of_node, np.int64)
+        self.step, self.child = np.array(sorted(steps) + [(1 << 60, 0)], np.int64).T.copy()
         # The vocabulary's scores are places in an order; by Zipf's law a place has a weight.
-        place = np.empty(n)
-        place[np.argsort(-np.array(scores), kind="stable")] = np.arange(1, n + 1)
+        place = np.empty(self.size)
+        place[np.argsort(-np.array(scores), kind="stable")] = np.arange(1, self.size + 1)
         self.first_weights = 1.0 / place
 
 
@@ -65,35 +70,36 @@ class Lattice:
     """All segmentations of many words. An arc is a piece over part of a word, or a byte."""
 
     def __init__(self, words_: list[bytes], pieces: Pieces):
-        find, byte = pieces.find.get, pieces.byte
-        start, end, piece, counts, lengths = [], [], [], [], []
-        for word in words_:
-            word = MARK + word
-            n, before = len(word), len(start)
-            for i in range(n):
-                start.append(i)
-                end.append(i + 1)
-                piece.append(byte[word[i]])
-                j = i + 1
-                while j <= n and (p := find(word[i:j])) is not None:
-                    if p >= 0:
-                        start.append(i)
-                        end.append(j)
-                        piece.append(p)
-                    j += 1
-            counts.append(len(start) - before)
-            lengths.append(n)
-        self.lengths = np.array(lengths, np.int64)
-        first = np.concatenate(([0], np.cumsum(self.lengths + 1)))[:-1]
-        self.of = np.repeat(np.arange(len(words_)), counts)
-        self.start, self.end = np.array(start, np.int64), np.array(end, np.int64)
-        self.piece = np.array(piece, np.int64)
-        self.first, self.places = first, int((self.lengths + 1).sum())
-        self.a, self.b = first[self.of] + self.start, first[self.of] + self.end
+        marked = [MARK + w for w in words_]
+        data = np.frombuffer(b"".join(marked), np.uint8).astype(np.int64)
+        self.lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+        word = np.repeat(np.arange(len(marked)), self.lengths)
+        stop = np.cumsum(self.lengths)[word]
+        at = np.arange(len(data))
+        starts, ends, found = [at], [at + 1], [pieces.byte[data]]
+        node, size = np.zeros(len(data), np.int64), 0
+        while len(at):
+            step = node * 256 + data[at + size]
+            i = np.searchsorted(pieces.step, step)
+            there = pieces.step[i] == step
+            at, node, size = at[there], pieces.child[i[there]], size + 1
+            whole = pieces.piece[node] >= 0
+            starts.append(at[whole])
+            ends.append(at[whole] + size)
+            found.append(pieces.piece[node[whole]])
+            more = at + size < stop[at]
+            at, node = at[more], node[more]
+        start, end = np.concatenate(starts), np.concatenate(ends)
+        self.piece, self.of = np.concatenate(found), word[start]
+        # A word has a place before each byte and one behind the last.
+        self.first = np.concatenate(([0], np.cumsum(self.lengths + 1)))[:-1]
+        self.places = int((self.lengths + 1).sum())
+        self.a, self.b = start + self.of, end + self.of
+        self.start, self.end = self.a - self.first[self.of], self.b - self.first[self.of]
 
     def _swept(self, by: np.ndarray, steps, to: np.ndarray, source: np.ndarray, value: np.ndarray, weight: np.ndarray) -> None:
         """value[to] = log sum exp(value[source] + weight) for the arcs at each step."""
-        order = np.argsort(by, kind="stable")
+        order = np.argsort(by * self.places + to)
         edges = np.searchsorted(by[order], np.arange(int(by.max(initial=0)) + 2))
         for s in steps:
             arcs = order[edges[s]:edges[s + 1]]
@@ -128,7 +134,7 @@ class Lattice:
         return np.bincount(self.piece, share * times[self.of], len(log_p))
 
 
-def _word_batches(batch: pa.RecordBatch, limit: int = 60_000):
+def _word_batches(batch: pa.RecordBatch, limit: int = 150_000):
     """Slices of a batch of words, of about `limit` bytes or one word."""
     for part in sliced(iter([batch]), "word", limit):
         yield part, part.column("word").to_pylist()
