@@ -25,7 +25,7 @@ MARK = "▁".encode()
 SMOOTHING = 0.1
 _UPPER = bytes(range(65, 91))
 _FOLD = bytes.maketrans(_UPPER, _UPPER.lower())
-_WORDS_AT_ONCE = 500_000
+_WORDS_AT_ONCE = 200_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -134,7 +134,7 @@ class Lattice:
         return np.bincount(self.piece, share * times[self.of], len(log_p))
 
 
-def _word_batches(batch: pa.RecordBatch, limit: int = 150_000):
+def _word_batches(batch: pa.RecordBatch, limit: int = 80_000):
     """Slices of a batch of words, of about `limit` bytes or one word."""
     for part in sliced(iter([batch]), "word", limit):
         yield part, part.column("word").to_pylist()
