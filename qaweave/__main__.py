@@ -170,8 +170,8 @@ def evaluate(f: Folder, a) -> None:
     out = evaluate_sparse(queries, corpus, qrels, a.task)
     if a.encoder:
         encoded = embed.encoded_set(queries, corpus, _encoder(a.encoder))
-        sparse, dense = bm25_topk(queries, corpus, RUN_DEPTH), dense_topk(*encoded, RUN_DEPTH)
-        out = out.unionByName(evaluate_dense(*encoded, qrels, a.task, a.encoder)).unionByName(
+        sparse, dense = bm25_topk(queries, corpus, RUN_DEPTH), stored(dense_topk(*encoded, RUN_DEPTH), "dense-run")
+        out = out.unionByName(evaluate_dense(*encoded, qrels, a.task, a.encoder, run=dense)).unionByName(
             evaluate_hybrid(sparse, dense, qrels, a.task))
     f.replace(out, "results", "task", "language", "model")
 

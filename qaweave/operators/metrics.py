@@ -93,22 +93,33 @@ def ndcg_gold_reordered(hits: DataFrame, qrels: DataFrame, k: int = 10) -> DataF
     return ndcg_at_k(run, qrels, (k,)).withColumn("metric", F.lit("ndcg_gold_reordered"))
 
 
+def _relevant(run: DataFrame, qrels: DataFrame, depth: int, rank: str | None) -> DataFrame:
+    """The relevant documents among the first `depth`, with rank and relevance. With the
+    name of a `rank` column nothing but them is moved."""
+    if rank is None:
+        run = run.withColumn("rank", F.row_number().over(_by(F.desc("score"), F.desc("doc_id"))))
+        rank = "rank"
+    relevance = qrels.filter("score > 0").select(*_QUERY, "doc_id", F.col("score").alias("relevance"))
+    return run.select(*_QUERY, "doc_id", F.col(rank).alias("rank")).filter(F.col("rank") <= depth).join(
+        relevance, [*_QUERY, "doc_id"])
+
+
 def cutoff_metrics(run: DataFrame, qrels: DataFrame, ks=C.METRIC_CUTOFFS,
-                   names=("map", "mrr", "recall", "precision", "ndcg")) -> DataFrame:
+                   names=("map", "mrr", "recall", "precision", "ndcg"), rank: str | None = None) -> DataFrame:
     """All metrics at all cutoffs from one ranked table; nothing is exploded
-    before the per-query aggregation."""
+    before the per-query aggregation, and only relevant hits are ordered. `rank` names a
+    column with the order by score and document id, if the run has one."""
     ks = list(ks)
     up_to = _by("rank").rowsBetween(Window.unboundedPreceding, 0)
-    hit = (F.col("relevance") > 0).cast("int")
-    judged = _judged(run, qrels, max(ks)).withColumn("hit", hit).withColumn(
+    judged = _relevant(run, qrels, max(ks), rank).withColumn("hit", F.lit(1)).withColumn(
         "hits_so_far", F.sum("hit").over(up_to)
     )
-    at_hit = F.when(F.col("hit") == 1, F.col("hits_so_far") / F.col("rank")).otherwise(F.lit(0.0))
+    at_hit = F.col("hits_so_far") / F.col("rank")
     sums = judged.groupBy(*_QUERY).agg(
         *_cut_sums(F.col("hit").cast("double"), "rank", ks, "hits"),
         *_cut_sums(at_hit, "rank", ks, "ap"),
         *_cut_sums(_gain("relevance", "rank"), "rank", ks, "gain"),
-        F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first_hit"),
+        F.min("rank").alias("first_hit"),
     )
     joined = _ideal(qrels, ks).join(sums, _QUERY, "left")
     makers = {

@@ -1,26 +1,32 @@
 """BM25, dense and hybrid ranking of a corpus for many queries at once.
 
 `language` is a key everywhere, so all languages of a task are ranked in one
-job. Documents and queries are cut into blocks of a bounded number of rows; a
-task scores one query block against one document block and returns only its
-best `k` documents per query. Per-language tables hold one row per language code
-(three letters, at most 17,576), which bounds what is broadcast.
+job. A task holds a block of queries and the best `k` documents of each while a
+part of the corpus streams past in stripes; only those leave it, so the rows that
+leave do not grow with the number of stripes. Per-language tables hold one row per
+language code (three letters, at most 17,576), which bounds what is broadcast.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaweave import constants as C
-from qaweave.operators.blocks import unit_rows
-
-# A query row is a few terms, a document row all its postings of query terms; so
-# query blocks are the larger ones and postings are seldom copied.
-QUERY_BLOCK = 16384
-DOC_BLOCK = 2048
+from qaweave.operators.streams import HELD, PASSING, Best, in_cells, matrix, streamed
+from qaweave.session import stored
+
+# A document is copied once for each block of queries, a query once for each part of
+# the corpus; a query gives back at most k rows for each part.
+QUERY_ROWS = 16384
+DOC_ROWS = 262144
+#: Kept hits of a block of queries (20 bytes each), scores and score parts of a stripe.
+MOST_KEPT, MOST_SCORES, MOST_PARTS = 4_000_000, 1_000_000, 4_000_000
+LEAST_QUERY_ROWS = 256
+#: Share of the held queries that makes a term a column of a matrix.
+SHARED_TERM = 1 / 32
 SCORE_DIGITS = 9
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 _CELL = ["language", "q_block", "d_block"]
@@ -31,169 +37,180 @@ def _tokens(text):
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN_PATTERN})"), F.lit(1))
 
 
-def _block_counts(queries: DataFrame, corpus: DataFrame, q_rows: int, d_rows: int) -> DataFrame:
-    """One row per language: into how many blocks queries and documents are cut."""
+def _block_counts(queries: DataFrame, corpus: DataFrame, k: int, q_rows: int | None, d_rows: int | None) -> DataFrame:
+    """One row per language: into how many blocks queries and documents are cut. Without
+    given sizes, blocks of queries are as large as their hits allow, but small enough to
+    give every core one."""
+    cores = queries.sparkSession.sparkContext.defaultParallelism
 
-    def blocks(df, rows, name):
-        return df.groupBy("language").agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(name)
-        )
+    def sized(df, name, blocks):
+        return df.groupBy("language").agg(F.greatest(F.lit(1), blocks).cast("int").alias(name))
 
-    return blocks(queries, q_rows, "n_q").join(blocks(corpus, d_rows, "n_d"), "language")
+    n = F.count(F.lit(1))
+    large = q_rows or max(1, min(QUERY_ROWS, MOST_KEPT // k))
+    few = F.lit(0) if q_rows else F.least(F.lit(cores), F.ceil(n / LEAST_QUERY_ROWS))
+    return sized(queries, "n_q", F.greatest(F.ceil(n / large), few)).join(
+        sized(corpus, "n_d", F.ceil(n / F.lit(d_rows or max(DOC_ROWS, 16 * k)))), "language")
 
 
-def _cells(df: DataFrame, counts: DataFrame, key: str, own: str, n_own: str, other: str,
+def _cells(df: DataFrame, counts: DataFrame, side: int, key: str, own: str, n_own: str, other: str,
            n_other: str) -> DataFrame:
     """Each row to its own block and once to every block of the other side.
     Columns get new identities, since both sides may come from one table."""
     return (
         df.join(F.broadcast(counts), "language")
-        .select(*[F.col(c).alias(c) for c in [*df.columns, "n_q", "n_d"]])
+        .select(*[F.col(c).alias(c) for c in [*df.columns, "n_q", "n_d"]], F.lit(side).alias("side"))
         .withColumn(own, F.pmod(F.xxhash64(key), F.col(n_own)).cast("int"))
         .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
         .drop("n_q", "n_d")
+        .withColumnRenamed(key, "row_id")
     )
 
 
-def _best(scores: np.ndarray, k: int, positive: bool) -> np.ndarray:
-    """Indices of the first k by score; documents stand in descending order of
-    their id, so a stable sort settles ties."""
-    pool = np.flatnonzero(scores > 0) if positive else np.arange(len(scores))
-    if len(pool) > k:
-        cut = np.partition(scores[pool], len(pool) - k)[len(pool) - k]
-        pool = pool[scores[pool] >= cut]
-    return pool[np.argsort(-scores[pool], kind="stable")[:k]]
-
-
-def _coded(doc_ids: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """A number per document, in descending order of the ids."""
-    codes, names = pd.factorize(doc_ids)
-    names = np.asarray(names, dtype=object)
-    order = np.argsort(names)[::-1]
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    return place[codes], names[order]
-
-
-class _Found:
-    """Rows of a run, gathered as arrays."""
-
-    def __init__(self):
-        self.queries, self.docs, self.scores, self.sizes = [], [], [], []
-
-    def add(self, query_id, doc_ids, scores, best):
-        self.queries.append(query_id)
-        self.sizes.append(len(best))
-        self.docs.append(doc_ids[best])
-        self.scores.append(scores[best])
-
-    def frame(self, queries: pd.DataFrame) -> pd.DataFrame:
-        if not self.queries:
-            return pd.DataFrame(columns=["language", "query_id", "doc_id", "score"])
-        return pd.DataFrame({
-            "language": queries["language"].iloc[0],
-            "query_id": np.repeat(np.array(self.queries, dtype=object), self.sizes),
-            "doc_id": np.concatenate(self.docs), "score": np.concatenate(self.scores),
-        })
-
-
-def _ranked(run: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("language", "query_id").orderBy(F.desc("score"), F.desc("doc_id"))
-    return run.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+def _hits(queries: DataFrame, corpus: DataFrame, counts: DataFrame, k: int, positive: bool, scorer) -> DataFrame:
+    """Rows of `queries` (query_id) and `corpus` (doc_id), alike in their other columns, to
+    each query's best `k`. `scorer` makes of the held rows a function from passing rows to
+    a matrix of scores. Documents pass in descending order of their id, which settles ties."""
+    left = _cells(queries, counts, HELD, "query_id", "q_block", "n_q", "d_block", "n_d")
+    right = _cells(corpus, counts, PASSING, "doc_id", "d_block", "n_d", "q_block", "n_q")
+
+    def run(batches):
+        for held, passing in streamed(batches, _CELL):
+            if held is None:
+                continue
+            scores_of = scorer(held)
+            best = Best(len(held), k, 0.0 if positive else -np.inf)
+            rows = max(1, MOST_SCORES // len(held))
+            for batch in passing:
+                names = batch.column("row_id").to_numpy(zero_copy_only=False)
+                for start in range(0, batch.num_rows, rows):
+                    scores = scores_of(batch.slice(start, rows))
+                    q, d = np.nonzero(scores > best.limit[:, None] - 10.0 ** -SCORE_DIGITS)
+                    best.add(names[start:start + rows], q, d, np.round(scores[q, d], SCORE_DIGITS))
+            q, doc_id, score = best.found()
+            if len(q):
+                yield pa.RecordBatch.from_arrays([
+                    held.column("language").combine_chunks().take(pa.array(q)), held.column("row_id").combine_chunks().take(pa.array(q)),
+                    pa.array(doc_id, pa.string()), pa.array(score)], ["language", "query_id", "doc_id", "score"])
+
+    return in_cells(left.unionByName(right), _CELL, F.desc("row_id")).mapInArrow(run, _RUN)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("language", "query_id").orderBy(F.desc("score"), F.desc("doc_id"))
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _postings(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Query terms with a number for each, documents with their numbers of query terms
+    (repeats included) and sizes per language. The corpus is cut into tokens once."""
+    query_terms = stored(
+        queries.select("language", "query_id", F.explode(_tokens(F.col("text"))).alias("term"))
+        .groupBy("language", "query_id", "term")
+        .agg(F.count(F.lit(1)).alias("q_tf")), "query-terms")
+    vocabulary = stored(query_terms.select("language", "term").distinct().withColumn("code", F.monotonically_increasing_id()), "terms")
+    postings = stored(
+        corpus.select("language", "doc_id", _tokens(F.col("text")).alias("tokens"))
+        .select("language", "doc_id", F.size("tokens").alias("doc_len"), F.explode_outer("tokens").alias("term"))
+        .join(vocabulary, ["language", "term"], "left")
+        .groupBy("language", "doc_id").agg(F.first("doc_len").alias("doc_len"), F.collect_list("code").alias("codes")), "postings")
+    sizes = postings.groupBy("language").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    return query_terms.join(vocabulary, ["language", "term"]).select("language", "query_id", "code", "q_tf"), postings, sizes
 
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float = 0.9,
-              b: float = 0.4, q_rows: int = QUERY_BLOCK, d_rows: int = DOC_BLOCK) -> DataFrame:
+              b: float = 0.4, q_rows: int | None = None, d_rows: int | None = None) -> DataFrame:
     """queries (language, query_id, text), corpus (language, doc_id, text) to the
     first k documents with a common term.
 
-    Only postings of query terms leave the scan. A frequent term is spread over
-    the document blocks, so no task sees all its postings."""
-    counts = _block_counts(queries, corpus, q_rows, d_rows)
-    documents = corpus.select("language", "doc_id", _tokens(F.col("text")).alias("tokens"))
-    sizes = documents.groupBy("language").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len")
-    )
-    query_terms = (
-        queries.select("language", "query_id", F.explode(_tokens(F.col("text"))).alias("term"))
-        .groupBy("language", "query_id", "term")
-        .agg(F.count(F.lit(1)).alias("q_tf"))
-    )
-    vocabulary = query_terms.select("language", "term").distinct()
-    postings = (
-        documents.withColumn("doc_len", F.size("tokens"))
-        .select("language", "doc_id", "doc_len", F.explode("tokens").alias("term"))
-        .join(vocabulary, ["language", "term"], "left_semi")
-        .groupBy("language", "doc_id", "doc_len", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    # Reading tf (never 0) keeps this branch on the same exchange as the scores, so
-    # the postings are made once.
-    frequencies = postings.groupBy("language", "term").agg(
-        F.count_if(F.col("tf") > 0).alias("df")
-    )
+    Terms of queries have numbers; a document keeps the numbers it holds. In a task
+    the numbers of a stripe meet those of all held queries in one sorted merge; terms
+    that many of the held queries share are a matrix product."""
+    query_terms, postings, sizes = _postings(queries, corpus)
+    counts = _block_counts(queries, corpus, k, q_rows, d_rows)
+    df = postings.select("language", F.explode(F.array_distinct("codes")).alias("code")).groupBy("language", "code").agg(
+        F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = (
-        query_terms.join(frequencies, ["language", "term"])
-        .join(F.broadcast(sizes), "language")
-        .select("language", "query_id", "term", (idf * F.col("q_tf")).alias("weight"))
-    )
-    length = F.lit(1 - b) + F.lit(b) * F.col("doc_len") / F.col("avg_len")
-    parts = postings.join(F.broadcast(sizes), "language").select(
-        "language", "doc_id", "term",
-        (F.col("tf") / (F.col("tf") + F.lit(k1) * length)).alias("part"),
+    weighted = (
+        query_terms.join(df, ["language", "code"]).join(F.broadcast(sizes), "language")
+        .groupBy("language", "query_id").agg(
+            F.collect_list("code").alias("codes"), F.collect_list(idf * F.col("q_tf")).alias("weights"))
+        .withColumn("length", F.lit(0.0))
     )
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = _Found()
-        if len(left) and len(right):
-            doc_code, doc_ids = _coded(right["doc_id"])
-            slots = {
-                term: (doc_code[rows], right["part"].to_numpy()[rows])
-                for term, rows in right.groupby("term", sort=False).indices.items()
-            }
-            terms, weights = left["term"].to_numpy(), left["weight"].to_numpy()
-            for query_id, rows in left.groupby("query_id", sort=False).indices.items():
-                scores = np.zeros(len(doc_ids))
-                for i in rows:
-                    posting = slots.get(terms[i])
-                    if posting is not None:
-                        scores[posting[0]] += weights[i] * posting[1]
-                scores = np.round(scores, SCORE_DIGITS)
-                found.add(query_id, doc_ids, scores, _best(scores, k, True))
-        return found.frame(left)
-
-    left = _cells(weights, counts, "query_id", "q_block", "n_q", "d_block", "n_d")
-    right = _cells(parts, counts, "doc_id", "d_block", "n_d", "q_block", "n_q")
-    scored = left.groupBy(*_CELL).cogroup(right.groupBy(*_CELL)).applyInPandas(score, _RUN)
-    return _ranked(scored, k)
+    length = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("doc_len") / F.col("avg_len"))
+    documents = postings.join(F.broadcast(sizes), "language").select(
+        "language", "doc_id", "codes", F.array().cast("array<double>").alias("weights"), length.alias("length"))
+
+    def scorer(held):
+        codes = held.column("codes").combine_chunks()
+        code = codes.flatten().to_numpy()
+        query = np.repeat(np.arange(len(held)), np.diff(codes.offsets.to_numpy()))
+        weight = held.column("weights").combine_chunks().flatten().to_numpy()
+        order = np.argsort(code, kind="stable")
+        query, weight = query[order], weight[order]
+        known, first = np.unique(code[order], return_index=True)
+        first = np.append(first, len(code))
+        shared = np.flatnonzero(np.diff(first) > len(held) * SHARED_TERM)
+        shared = shared[np.argsort(-np.diff(first)[shared], kind="stable")[:MOST_KEPT // len(held)]]
+        column = np.full(len(known), -1)
+        column[shared] = np.arange(len(shared))
+        of_entry = column[np.repeat(np.arange(len(known)), np.diff(first))]
+        shared_weights = np.zeros((len(held), len(shared)))
+        shared_weights[query[of_entry >= 0], of_entry[of_entry >= 0]] = weight[of_entry >= 0]
+
+        def scores_of(part):
+            lists = part.column("codes")
+            doc = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+            code = lists.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            there = known[at] == code
+            pair, tf = np.unique(doc[there] * len(known) + at[there], return_counts=True)
+            doc, at = pair // len(known), pair % len(known)
+            share = tf / (tf + part.column("length").to_numpy()[doc])
+            often = column[at] >= 0
+            shares = np.zeros((len(shared), part.num_rows))
+            shares[column[at[often]], doc[often]] = share[often]
+            scores = shared_weights @ shares
+            doc, at, share = doc[~often], at[~often], share[~often]
+            many = first[at + 1] - first[at]
+            flat, ends, start = scores.reshape(-1), np.cumsum(many), 0
+            while start < len(many):
+                base = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, base + MOST_PARTS, side="right")))
+                n = many[start:stop]
+                of = np.repeat(np.arange(start, stop), n)
+                i = np.arange(len(of)) - np.repeat(ends[start:stop] - n - base, n) + first[at[of]]
+                np.add.at(flat, query[i] * part.num_rows + doc[of], weight[i] * share[of])
+                start = stop
+            return scores
+
+        return scores_of
+
+    return _ranked(_hits(weighted, documents, counts, k, True, scorer), k)
+
+
+def dense_hits(queries: DataFrame, corpus: DataFrame, k: int, q_rows: int | None = None, d_rows: int | None = None) -> DataFrame:
+    """The k nearest documents of each query in every part of the corpus."""
+
+    def scorer(held):
+        mine = unit(matrix(held.column("embedding")))
+        return lambda part: mine @ unit(matrix(part.column("embedding"))).T
+
+    def unit(m):
+        m = m.astype(np.float64)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    counts = _block_counts(queries, corpus, k, q_rows, d_rows)
+    kind = "array<double>"
+    return _hits(queries.select("language", "query_id", F.col("embedding").cast(kind).alias("embedding")),
+                corpus.select("language", "doc_id", F.col("embedding").cast(kind).alias("embedding")), counts, k, False, scorer)
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 1000,
-               q_rows: int = QUERY_BLOCK, d_rows: int = DOC_BLOCK) -> DataFrame:
+               q_rows: int | None = None, d_rows: int | None = None) -> DataFrame:
     """queries (language, query_id, embedding), corpus (language, doc_id, embedding)
     to the k nearest documents by cosine."""
-    counts = _block_counts(queries, corpus, q_rows, d_rows)
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = _Found()
-        if len(left) and len(right):
-            right = right.sort_values("doc_id", ascending=False, ignore_index=True)
-            doc_ids = right["doc_id"].to_numpy(dtype=object)
-            documents = unit_rows(right["embedding"])
-            for start in range(0, len(left), 256):
-                part = left.iloc[start:start + 256]
-                similar = np.round(unit_rows(part["embedding"]) @ documents.T, SCORE_DIGITS)
-                for query_id, scores in zip(part["query_id"], similar):
-                    found.add(query_id, doc_ids, scores, _best(scores, k, False))
-        return found.frame(left)
-
-    left = _cells(queries.select("language", "query_id", "embedding"), counts,
-                  "query_id", "q_block", "n_q", "d_block", "n_d")
-    right = _cells(corpus.select("language", "doc_id", "embedding"), counts,
-                   "doc_id", "d_block", "n_d", "q_block", "n_q")
-    scored = left.groupBy(*_CELL).cogroup(right.groupBy(*_CELL)).applyInPandas(score, _RUN)
-    return _ranked(scored, k)
+    return _ranked(dense_hits(queries, corpus, k, q_rows, d_rows), k)
 
 
 def hybrid_scores(sparse: DataFrame, dense: DataFrame,
@@ -201,12 +218,17 @@ def hybrid_scores(sparse: DataFrame, dense: DataFrame,
     """Union of two ranked runs: weighted sum where both found the document, else
     0. Ties keep the sparse order, then the dense one, in `rank`."""
     keys = ["language", "query_id", "doc_id"]
-    s = sparse.select(*keys, F.col("score").alias("s_score"), F.col("rank").alias("s_rank"))
-    d = dense.select(*keys, F.col("score").alias("d_score"), F.col("rank").alias("d_rank"))
+
+    def side(run, own, other):
+        null = {f"{other}_score": F.lit(None).cast("double"), f"{other}_rank": F.lit(None).cast("int")}
+        return run.select(*keys, F.col("score").alias(f"{own}_score"), F.col("rank").alias(f"{own}_rank")).withColumns(null)
+
+    # One exchange by query serves the meeting of both runs and the order of the result.
     both = F.col("s_score").isNotNull() & F.col("d_score").isNotNull()
-    fused = s.join(d, keys, "full_outer").withColumn(
-        "score",
-        F.when(both, F.lit(weight) * F.col("d_score") + F.col("s_score")).otherwise(F.lit(0.0)),
+    fused = (
+        side(sparse, "s", "d").unionByName(side(dense, "d", "s")).repartition("language", "query_id")
+        .groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("s_score", "s_rank", "d_score", "d_rank")])
+        .withColumn("score", F.when(both, F.lit(weight) * F.col("d_score") + F.col("s_score")).otherwise(F.lit(0.0)))
     )
     order = Window.partitionBy("language", "query_id").orderBy(
         F.desc("score"), F.asc_nulls_last("s_rank"), F.asc_nulls_last("d_rank")

@@ -27,9 +27,11 @@ def evaluate_sparse(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, tas
 
 
 def evaluate_dense(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, task: str,
-                   model: str, k: int = RUN_DEPTH) -> DataFrame:
-    """All metrics at all cutoffs for vector tables."""
-    return _entries(M.cutoff_metrics(R.dense_topk(queries, corpus, k), qrels), task, model)
+                   model: str, k: int = RUN_DEPTH, run: DataFrame | None = None) -> DataFrame:
+    """All metrics at all cutoffs for vector tables, or for the run that is already there."""
+    if run is None:
+        run = R.dense_topk(queries, corpus, k)
+    return _entries(M.cutoff_metrics(run, qrels, rank="rank"), task, model)
 
 
 def evaluate_hybrid(sparse: DataFrame, dense: DataFrame, qrels: DataFrame,

@@ -312,7 +312,7 @@ _TEN = (_SET, _BM25_10, _METRICS)
 
 
 def _cutoffs(spark, sf, *names):
-    values = M.cutoff_metrics(_bm25(spark, sf, V.RUN_DEPTH), _qrels(spark, sf), names=names)
+    values = M.cutoff_metrics(_bm25(spark, sf, V.RUN_DEPTH), _qrels(spark, sf), names=names, rank="rank")
     return values.withColumn("value", F.round("value", 6))
 
 
@@ -362,7 +362,7 @@ gold_means AS (SELECT language, avg(value) AS value FROM gold GROUP BY language)
 
 @query("mean_metric", sql("SELECT language, metric, k, round(value, 6) AS value FROM means", *_ALL, _MEANS))
 def _(spark, sf):
-    values = M.cutoff_metrics(_bm25(spark, sf, V.RUN_DEPTH), _qrels(spark, sf))
+    values = M.cutoff_metrics(_bm25(spark, sf, V.RUN_DEPTH), _qrels(spark, sf), rank="rank")
     return M.mean_metric(values).withColumn("value", F.round("value", 6))
 
 

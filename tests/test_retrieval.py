@@ -5,9 +5,12 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from qaweave.operators import metrics as M
 from qaweave.operators import ranking as R
+from qaweave.operators import streams
 from qaweave.plans import evaluate as V
 
 RUN = "language string, query_id string, doc_id string, score double"
@@ -15,6 +18,11 @@ QRELS = "language string, query_id string, doc_id string, score int"
 RANKED = RUN + ", rank int"
 
 
+def in_order(run, k):
+    order = Window.partitionBy("language", "query_id").orderBy(F.desc("score"), F.desc("doc_id"))
+    return run.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def value(df):
     return round(df.first().value, 6)
 
@@ -22,7 +30,7 @@ def value(df):
 def test_ndcg_by_hand(spark):
     run = spark.createDataFrame([("e", "q", f"d{i}", 10.0 - i) for i in range(10)], RUN)
     qrels = spark.createDataFrame([("e", "q", "d2", 1)], QRELS)
-    ranked = R._ranked(run, 10)
+    ranked = in_order(run, 10)
     assert value(M.ndcg_at_k(run, qrels)) == 0.5
     assert value(M.ndcg_gold_reordered(ranked, qrels)) == 1.0
     missing = spark.createDataFrame([("e", "q", "other", 1)], QRELS)
@@ -54,7 +62,7 @@ def test_gold_reordering_is_never_worse(spark):
     run = spark.createDataFrame(
         [("e", f"q{q}", f"d{d}", float(rng.random())) for q in range(6) for d in range(20)], RUN)
     plain = {r.query_id: r.value for r in M.ndcg_at_k(run, qrels).collect()}
-    gold = {r.query_id: r.value for r in M.ndcg_gold_reordered(R._ranked(run, 1000), qrels).collect()}
+    gold = {r.query_id: r.value for r in M.ndcg_gold_reordered(in_order(run, 1000), qrels).collect()}
     assert all(gold[q] >= plain[q] - 1e-12 for q in plain)
 
 
@@ -96,7 +104,7 @@ def brute_bm25(queries, docs, k):
     return out
 
 
-@pytest.mark.parametrize("q_rows, d_rows", [(1000, 1000), (2, 5)])
+@pytest.mark.parametrize("q_rows, d_rows", [(1000, 1000), (2, 5), (3, 1), (None, None)])
 def test_bm25_for_every_block_size(spark, q_rows, d_rows):
     rng = np.random.default_rng(6)
     words = ["the"] * 6 + ["alpha", "beta", "gamma", "delta", "straße", "x1"]
@@ -111,7 +119,7 @@ def test_bm25_for_every_block_size(spark, q_rows, d_rows):
     assert got == brute_bm25(queries, docs, 4)
 
 
-@pytest.mark.parametrize("q_rows, d_rows", [(1000, 1000), (3, 4)])
+@pytest.mark.parametrize("q_rows, d_rows", [(1000, 1000), (3, 4), (1, 15), (None, None)])
 def test_dense_for_every_block_size(spark, q_rows, d_rows):
     rng = np.random.default_rng(7)
     q, d = rng.integers(-2, 3, (7, 4)) + 0.5, rng.integers(-2, 3, (15, 4)) + 0.5
@@ -142,3 +150,34 @@ def test_evaluation_tables(spark):
     assert hybrid.first().value == 1.0
     old = dense.withColumn("value", dense.value * 0)
     assert M.upsert_results(old, dense).filter("metric = 'ndcg' and k = 10").first().value == 1.0
+
+
+def test_running_best_keeps_k_rows():
+    """What a task holds and gives back is at most k rows a query, whatever passes."""
+    rng = np.random.default_rng(1)
+    scores = np.round(rng.random((7, 5000)), 2)
+    for width in (1, 37, 5000):
+        best = streams.Best(7, 10)
+        for a in range(0, 5000, width):
+            part = scores[:, a:a + width]
+            q, d = np.nonzero(part > best.limit[:, None] - 1e-9)
+            best.add(np.array([f"d{i}" for i in range(a, a + part.shape[1])], object), q, d, part[q, d])
+            assert best._size <= 2 * 10 * 7 + 7 * width and len(best.names) <= best._size
+        row, name, score = best.found()
+        want = [(i, f"d{j}") for i in range(7) for j in sorted(range(5000), key=lambda j: (-scores[i, j], j))[:10]]
+        assert list(zip(row, name)) == want and len(score) == 70
+
+
+def test_rows_that_leave_a_task(spark):
+    """k rows for each query and part, not for each batch of documents."""
+    v = np.random.default_rng(2).random((400, 4))
+    kind = "language string, {}_id string, embedding array<double>"
+    q = spark.createDataFrame([("e", f"q{i}", x.tolist()) for i, x in enumerate(v[:10])], kind.format("query"))
+    d = spark.createDataFrame([("e", f"d{i}", x.tolist()) for i, x in enumerate(v)], kind.format("doc"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        for d_rows, parts in ((1000, 1), (200, 2), (50, 8)):
+            assert R.dense_hits(q, d, 5, 10, d_rows).count() == 10 * parts * 5
+            assert R.dense_topk(q, d, 5, 10, d_rows).count() == 50
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
