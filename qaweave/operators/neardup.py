@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaweave import constants as C
 from qaweave.functions.vectors import cosine
-from qaweave.operators.blocks import BLOCK_ROWS, in_block_pairs, stripes, unit_rows
+from qaweave.operators.blocks import BLOCK_ROWS, PART_BLOCKS, cell_columns, in_block_cells, stripes, unit_rows
+from qaweave.operators.streams import matrix, streamed
 
 
 def flag_exact_question(df: DataFrame) -> DataFrame:
@@ -34,46 +35,41 @@ def flag_qa_mismatch(df: DataFrame, limit: float = C.QA_SIMILARITY) -> DataFrame
     return df.withColumn("qa_mismatch", similarity < F.lit(limit))
 
 
-def _row_maxima(pdf: pd.DataFrame, keys: list[str], vector: str) -> pd.DataFrame:
-    pdf = pdf.sort_values(keys, kind="stable", ignore_index=True)
-    lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-    left = pdf[pdf["block"] == lo]
-    if lo == hi:
-        a = unit_rows(left[vector])
-        best = np.zeros(len(a))
-        for start, s in stripes(a, a):
-            s[np.arange(len(s)), np.arange(start, start + len(s))] = 0.0
-            best[start:start + len(s)] = np.maximum(s.max(axis=1), 0.0)
-        return left[keys].assign(best=best)
-    right = pdf[pdf["block"] == hi]
-    rows, cols = np.zeros(len(left)), np.zeros(len(right))
-    if len(left) and len(right):
-        for start, s in stripes(unit_rows(left[vector]), unit_rows(right[vector])):
-            rows[start:start + len(s)] = np.maximum(s.max(axis=1), 0.0)
-            cols = np.maximum(cols, s.max(axis=0))
-    return pd.concat([left[keys].assign(best=rows), right[keys].assign(best=cols)])
+def _alone(a: np.ndarray) -> np.ndarray:
+    """Each row's largest product with another row of the block."""
+    best = np.zeros(len(a))
+    for start, s in stripes(a, a):
+        s[np.arange(len(s)), np.arange(start, start + len(s))] = 0.0
+        best[start:start + len(s)] = np.maximum(s.max(axis=1), 0.0)
+    return best
 
 
 def near_duplicate_similarity(df: DataFrame, group=("language", "scheme_host"), key: str = "id",
                               vector: str = "question_embedding",
-                              block_rows: int = BLOCK_ROWS) -> DataFrame:
+                              block_rows: int = BLOCK_ROWS, part_blocks: int = PART_BLOCKS) -> DataFrame:
     """Largest cosine of each row to another row of its group, at least 0."""
     group = list(group)
     keys = [*group, key]
-    pairs = in_block_pairs(df.select(*keys, vector), group, [key], block_rows)
-    schema = ", ".join(
-        f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields
-    )
-
-    def maxima(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _row_maxima(pdf, keys, vector)
-
-    return (
-        pairs.groupBy(*group, "lo", "hi")
-        .applyInPandas(maxima, f"{schema}, best double")
-        .groupBy(*keys)
-        .agg(F.max("best").alias("near_duplicate_similarity"))
-    )
+    cells = in_block_cells(df.select(*keys, vector), group, [key], block_rows, part_blocks)
+    schema = df.select(*keys).schema.add("best", "double")
+
+    def maxima(batches):
+        for held, passing in streamed(batches, cell_columns(group)):
+            if held is None:
+                continue
+            mine = unit_rows(matrix(held.column(vector)))
+            best = _alone(mine) if held.column("alone")[0].as_py() else np.zeros(len(mine))
+            for batch in passing:
+                theirs = unit_rows(matrix(batch.column(vector)))
+                most = np.zeros(len(theirs))
+                for start, s in stripes(theirs, mine):
+                    most[start:start + len(s)] = np.maximum(s.max(axis=1), 0.0)
+                    best = np.maximum(best, s.max(axis=0))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(most)], schema.names)
+            columns = [held.column(k).combine_chunks() for k in keys]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(best)], schema.names)
+
+    return cells.mapInArrow(maxima, schema).groupBy(*keys).agg(F.max("best").alias("near_duplicate_similarity"))
 
 
 def make_flags(faq: DataFrame, vectors: DataFrame, limit: float = C.QA_SIMILARITY,

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaweave import constants as C
 from qaweave.functions.seeded import unit_draw
 from qaweave.functions.text import parse_score, render
-from qaweave.operators.blocks import BLOCK_ROWS, in_block_pairs, stripes, unit_rows
+from qaweave.operators.blocks import BLOCK_ROWS, PART_BLOCKS, cell_columns, in_block_cells, stripes, unit_rows
 from qaweave.operators.dedup import first_per_key
 from qaweave.operators.neardup import apply_flags
-from qaweave.session import settle
+from qaweave.operators.streams import matrix, streamed
 
 _PAIR = ["scheme_host", "l1", "l2"]
 
@@ -38,74 +38,106 @@ def candidate_docs(faq: DataFrame, hosts: DataFrame, flags: DataFrame, labels: D
     return named.join(vectors.select("language", "id", "embedding"), ["language", "id"])
 
 
-def _pair_maxima(pdf: pd.DataFrame, limit: float) -> pd.DataFrame:
-    """Per language pair: each row's best partner and each partner's best value,
-    as far as they reach the limit."""
-    pdf = pdf.sort_values("pos", kind="stable", ignore_index=True)
-    lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-    sides = [(lo, hi)] if lo == hi else [(lo, hi), (hi, lo)]
-    parts = {
-        key: (part["pos"].to_numpy(), unit_rows(part["embedding"]))
-        for key, part in pdf.groupby(["block", "language"], sort=True)
-    }
-    out = []
-    for first, second in sides:
-        for (block1, l1), (pos1, a) in parts.items():
-            for (block2, l2), (pos2, b) in parts.items():
-                if block1 != first or block2 != second or l1 >= l2:
-                    continue
-                best_of_column = np.full(len(b), -2.0)
-                for start, s in stripes(a, b):
-                    j = s.argmax(axis=1)
-                    value = s[np.arange(len(s)), j]
-                    keep = np.flatnonzero(value >= limit)
-                    best_of_column = np.maximum(best_of_column, s.max(axis=0))
-                    if len(keep):
-                        out.append(pd.DataFrame({
-                            "l1": l1, "l2": l2, "pos1": pos1[start + keep],
-                            "pos2": pos2[j[keep]], "similarity": value[keep],
-                        }))
-                keep = np.flatnonzero(best_of_column >= limit)
-                if len(keep):
-                    out.append(pd.DataFrame({
-                        "l1": l1, "l2": l2, "pos1": -1,
-                        "pos2": pos2[keep], "similarity": best_of_column[keep],
-                    }))
-    columns = ["l1", "l2", "pos1", "pos2", "similarity"]
-    found = pd.concat(out) if out else pd.DataFrame(columns=columns)
-    found.insert(0, "scheme_host", pdf["scheme_host"].iloc[0])
-    return found
+#: Which side of a language pair a best value belongs to.
+_FIRST, _SECOND = 1, 2
+
+
+class _Pairs:
+    """Best values of the rows of a held block against all that pass, per language pair.
+    Rows below the limit can change neither maximum, so they are dropped where they arise."""
+
+    def __init__(self, host, held: pa.Table, limit: float):
+        self.host, self.limit = host, limit
+        self.held = dict(_languages(held.combine_chunks().to_batches(max_chunksize=len(held))[0]))
+        self.best: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
+
+    def alone(self):
+        for l1, (pos1, a) in self.held.items():
+            for l2, (pos2, b) in self.held.items():
+                if l1 < l2:
+                    yield from self._met(l1, pos1, a, l2, pos2, b, keep=False)
+
+    def meet(self, batch: pa.RecordBatch):
+        for language, (pos, theirs) in _languages(batch):
+            for mine, (own_pos, a) in self.held.items():
+                if mine != language:
+                    yield from self._met(mine, own_pos, a, language, pos, theirs, keep=True)
+
+    def _met(self, l_held, pos_held, a, l_other, pos_other, b, keep):
+        """Maxima of both sides. Those of the other side are whole after this; those of
+        the held side go on (`keep`), as more rows of its partner's language may pass."""
+        best, partner = self.best.get((l_held, l_other), (np.full(len(a), -2.0), np.full(len(a), -1)))
+        for start, s in stripes(b, a):
+            names = pos_other[start:start + len(s)]
+            j = s.argmax(axis=1)
+            yield self._rows(l_other, l_held, names, pos_held[j], s[np.arange(len(s)), j])
+            i = s.argmax(axis=0)
+            value, name = s[i, np.arange(len(a))], names[i]
+            better = (value > best) | ((value == best) & (name < partner))
+            best, partner = np.where(better, value, best), np.where(better, name, partner)
+        if keep:
+            self.best[l_held, l_other] = best, partner
+        else:
+            yield self._rows(l_held, l_other, pos_held, partner, best)
+
+    def rest(self):
+        for (l_held, l_other), (best, partner) in self.best.items():
+            yield self._rows(l_held, l_other, self.held[l_held][0], partner, best)
+
+    def _rows(self, own, other, pos, partner, value) -> pa.RecordBatch:
+        some = value >= self.limit
+        n, first = int(some.sum()), own < other
+        l1, l2 = (own, other) if first else (other, own)
+        return pa.RecordBatch.from_arrays([
+            pa.array([self.host] * n, pa.string()), pa.array([l1] * n, pa.string()), pa.array([l2] * n, pa.string()),
+            pa.array(np.full(n, _FIRST if first else _SECOND, np.int32)), pa.array(pos[some]), pa.array(partner[some]), pa.array(value[some])],
+            ["scheme_host", "l1", "l2", "side", "pos", "partner", "similarity"])
+
+
+def _languages(batch: pa.RecordBatch):
+    """(language, (positions, unit vectors)) of each run of rows of a language."""
+    language = batch.column("language").dictionary_encode()
+    codes = language.indices.to_numpy()
+    edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1), len(codes)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            part = batch.slice(a, b - a)
+            yield language[a].as_py(), (part.column("pos").to_numpy(), unit_rows(matrix(part.column("embedding"))))
 
 
 def mutual_best_pairs(docs: DataFrame, limit: float = C.PAIR_SIMILARITY,
-                      block_rows: int = BLOCK_ROWS) -> DataFrame:
+                      block_rows: int = BLOCK_ROWS, part_blocks: int = PART_BLOCKS) -> DataFrame:
     """Per host and language pair: a row takes its best partner (first on ties);
     the pair stays if it reaches the limit and no other row is better for the
-    partner. Values below the limit can change neither maximum, so they are
-    dropped where they arise. Rows with `pos1` = -1 are partner maxima; true
-    positions are not negative."""
-    parts = in_block_pairs(
-        docs.select("scheme_host", "language", "pos", "embedding"),
-        ["scheme_host"], ["language", "pos"], block_rows,
-    )
-    host = docs.schema["scheme_host"].dataType.simpleString()
-    schema = (
-        f"scheme_host {host}, l1 string, l2 string, pos1 long, pos2 long, similarity double"
-    )
-    found = settle(
-        parts.groupBy("scheme_host", "lo", "hi").applyInPandas(
-            lambda pdf: _pair_maxima(pdf, limit), schema
-        )
-    )
-    rows = (
-        found.filter("pos1 >= 0")
-        .groupBy(*_PAIR, "pos1")
-        .agg(F.max(F.struct("similarity", (-F.col("pos2")).alias("back"))).alias("best"))
-        .select(*_PAIR, "pos1", (-F.col("best.back")).alias("pos2"), "best.similarity")
-    )
-    columns = found.filter("pos1 < 0").groupBy(*_PAIR, "pos2").agg(
-        F.max("similarity").alias("column_best")
+    partner."""
+    cells = in_block_cells(
+        docs.filter("language IS NOT NULL").select(
+            F.col("scheme_host").cast("string").alias("scheme_host"), "language", F.col("pos").cast("long").alias("pos"), "embedding"),
+        ["scheme_host"], ["language", "pos"], block_rows, part_blocks,
     )
+
+    def maxima(batches):
+        for held, passing in streamed(batches, cell_columns(["scheme_host"])):
+            if held is None:
+                continue
+            pairs = _Pairs(held.column("scheme_host")[0].as_py(), held, limit)
+            if held.column("alone")[0].as_py():
+                yield from pairs.alone()
+            for batch in passing:
+                yield from pairs.meet(batch)
+            yield from pairs.rest()
+
+    found = cells.mapInArrow(
+        maxima, "scheme_host string, l1 string, l2 string, side int, pos long, partner long, similarity double")
+    # Both branches read the aggregate `which`, not the key, and ask for the same columns to
+    # be there, so they share its exchange: the products are made once.
+    there = found.filter(" AND ".join(f"{c} IS NOT NULL" for c in [*_PAIR, "pos"]))
+    best = there.groupBy(*_PAIR, "side", "pos").agg(
+        F.max(F.struct("similarity", (-F.col("partner")).alias("back"))).alias("best"), F.max("side").alias("which"))
+    rows = best.filter(F.col("which") == _FIRST).select(
+        *_PAIR, F.col("pos").alias("pos1"), (-F.col("best.back")).alias("pos2"), "best.similarity")
+    columns = best.filter(F.col("which") == _SECOND).select(
+        *_PAIR, F.col("pos").alias("pos2"), F.col("best.similarity").alias("column_best"))
     return (
         rows.join(columns, [*_PAIR, "pos2"])
         .filter("similarity >= column_best")

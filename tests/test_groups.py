@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from qaweave.operators import dedup, neardup, ordered, parallel, runs
+from qaweave.operators import blocks, dedup, neardup, ordered, parallel, runs
 
 VEC = "language string, scheme_host string, id string, question_embedding array<float>"
 
@@ -20,14 +20,15 @@ def test_near_duplicates_by_hand(spark, rows):
     assert found == {"1": 0.8, "2": 0.8, "3": 0.6, "4": 0.0, "5": 0.0, "6": 0.0}
 
 
-@pytest.mark.parametrize("block_rows", [3, 17, 8192])
-def test_near_duplicates_for_every_block_size(spark, block_rows):
+@pytest.mark.parametrize("block_rows, part_blocks", [(3, 1), (3, 4), (17, 2), (8192, 16)])
+def test_near_duplicates_for_every_block_size(spark, block_rows, part_blocks):
     """One host holds most rows; blocks cut it, the result stays."""
     rng = np.random.default_rng(1)
     v = rng.normal(size=(90, 6)).astype(np.float32)
     hosts = ["big"] * 60 + ["mid"] * 20 + [f"s{i}" for i in range(10)]
     data = [("e", h, str(i), x.tolist()) for i, (h, x) in enumerate(zip(hosts, v))]
-    out = neardup.near_duplicate_similarity(spark.createDataFrame(data, VEC), block_rows=block_rows)
+    out = neardup.near_duplicate_similarity(
+        spark.createDataFrame(data, VEC), block_rows=block_rows, part_blocks=part_blocks)
     found = {r.id: r.near_duplicate_similarity for r in out.collect()}
     u = unit(v.astype(np.float64))
     s = u @ u.T
@@ -61,8 +62,8 @@ def test_mutual_best_by_hand(spark, rows):
     assert rows(out, "pos1", "pos2") == [(1, 3)]
 
 
-@pytest.mark.parametrize("block_rows", [4, 13, 8192])
-def test_mutual_best_against_brute_force(spark, rows, block_rows):
+@pytest.mark.parametrize("block_rows, part_blocks", [(4, 1), (4, 3), (13, 16), (8192, 16)])
+def test_mutual_best_against_brute_force(spark, rows, block_rows, part_blocks):
     rng = np.random.default_rng(2)
     data, limit = [], 0.5
     for pos in range(80):
@@ -79,10 +80,39 @@ def test_mutual_best_against_brute_force(spark, rows, block_rows):
                 j = int(s[i].argmax())
                 if s[i, j] >= limit and s[i, j] >= s[:, j].max():
                     want.append((host, l1, l2, left[i][2], right[j][2]))
-    out = parallel.mutual_best_pairs(spark.createDataFrame(data, DOCS), limit, block_rows)
+    out = parallel.mutual_best_pairs(spark.createDataFrame(data, DOCS), limit, block_rows, part_blocks)
     assert rows(out, "scheme_host", "l1", "l2", "pos1", "pos2") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("block_rows, part_blocks", [(10, 1), (10, 4), (100, 4), (1000, 16)])
+def test_copies_of_a_row(spark, block_rows, part_blocks):
+    """As often held as there are parts from its own on, as often passing as there are
+    blocks before its own."""
+    df = spark.range(1000).selectExpr("CASE WHEN id < 960 THEN 'big' ELSE concat('s', id) END AS host", "id")
+    cells = blocks.in_block_cells(df, ["host"], ["id"], block_rows, part_blocks)
+    n = max(1, -(-960 // block_rows))
+    parts = -(-n // part_blocks)
+    copies = cells.groupBy("host", "id").count().collect()
+    assert len(copies) == 1000 and {r["count"] for r in copies if r.host != "big"} == {1}
+    assert max(r["count"] for r in copies) <= n + parts
+    assert sum(r["count"] for r in copies if r.host == "big") <= 960 * ((n + 1) / 2 + parts) * 1.3
+    largest = cells.filter("side = 0").groupBy("host", "block", "part").count().agg({"count": "max"}).first()[0]
+    assert largest <= block_rows * 2.5
+
+
+def test_pairs_in_one_pass(spark):
+    """No job runs while the plan is built, and the Python stage is there once."""
+    data = [("h", "ab"[i % 2], i, [1.0, i / 9]) for i in range(40)]
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    df = spark.createDataFrame(data, DOCS)
+    out = parallel.mutual_best_pairs(df, 0.5, 10)
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1 and "ReusedExchange" in plan
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 7, 1000])
 def test_ordered_for_every_chunk_size(spark, rows, chunk):
     rng = np.random.default_rng(3)
