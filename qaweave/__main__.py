@@ -25,7 +25,7 @@ from qaweave.plans.mine import mine_pairs
 from qaweave.plans.report import statistics_report, write_statistics
 from qaweave.sources import lines as L
 from qaweave.session import stored
-from qaweave.sources.entity_store import checkpoint_entities, stored_files
+from qaweave.sources.entity_store import checkpoint_entities, finished_files
 from qaweave.sources.retrieval_sets import load_retrieval_set, write_retrieval_set
 
 
@@ -60,12 +60,13 @@ def extract(f: Folder, a) -> None:
     """Quad files with a prefix to parts; the language model is trained on a
     parquet table (text, language)."""
     entities = f.path("entities")
-    done = stored_files(f.spark, entities)
-    lines = L.read_quad_lines(f.spark, f.path("downloads"), a.prefix, done)
-    store = checkpoint_entities(f.spark, lines, entities).filter(F.col("file").startswith(a.prefix))
+    files = stored(L.quad_files(f.spark, f.path("downloads"), a.prefix), "quad-files")
+    new = files.join(finished_files(f.spark, entities), "file", "left_anti")
+    store = checkpoint_entities(f.spark, L.read_quad_lines(f.spark, new), entities, files=new)
     known = f.spark.read.parquet(a.language_table)
     detector = clean.model_detector(clean.train_language_model(known, "text", "language"))
-    L.write_by_language(extract_faq(store, detector), f.path("parts"), "parquet")
+    rows = extract_faq(store.filter(F.col("file").startswith(a.prefix)), detector)
+    L.write_by_language(rows, f.path("parts"), "parquet", files)
 
 
 def merge(f: Folder, a) -> None:

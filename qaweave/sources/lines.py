@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from qaweave.session import stored
+
 _BROKEN = "_corrupt_record"
 
 
-def read_quad_lines(spark: SparkSession, folder: str, prefix: str, without=()) -> DataFrame:
-    """(file, pos, value) of all gz files with the prefix, but for the files `without`,
-    which are not opened.
+def quad_files(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
+    """(file, path) of all gz files with the prefix right in the folder; what lies in
+    folders below it is not looked at. Files are listed, not opened."""
+    escaped = re.sub(r"([\[\]{}*?\\])", r"\\\1", prefix)
+    try:
+        found = spark.read.format("binaryFile").load(f"{folder}/{escaped}*.gz").select("path")
+    except AnalysisException:
+        found = spark.createDataFrame([], "path string")
+    return found.select(F.regexp_extract("path", r"([^/]*)\.gz$", 1).alias("file"), "path")
+
+
+def read_quad_lines(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """(file, pos, value) of the files in `files` (file, path; see `quad_files`). Their
+    paths go through the driver, which lists them for the scan anyway.
 
     A gz file is one split, so the running id rises in line order inside a
     file. It is written out with the entities before anything is shuffled."""
-    found = spark.read.option("pathGlobFilter", f"{prefix}*.gz").text(folder)
-    if without:
-        found = found.filter(~F.col("_metadata.file_name").isin([f"{name}.gz" for name in without]))
-    return (
-        found.select(
-            F.regexp_replace(F.col("_metadata.file_name"), r"\.gz$", "").alias("file"),
-            F.monotonically_increasing_id().alias("pos"),
-            "value",
-        )
+    paths = [r.path for r in files.select("path").toLocalIterator()]
+    if not paths:
+        return spark.createDataFrame([], "file string, pos long, value string")
+    return spark.read.text(paths).select(
+        F.regexp_replace(F.col("_metadata.file_name"), r"\.gz$", "").alias("file"),
+        F.monotonically_increasing_id().alias("pos"),
+        "value",
     )
 
 
@@ -54,14 +68,49 @@ def read_many(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return read_jsonl(spark, pattern, schema)[0]
 
 
-def write_by_language(df: DataFrame, path: str, file_format: str = "json") -> None:
-    """One folder per language and input file. Folders that get rows are replaced, those of
-    other files stay.
-
-    A task gets a range of (language, file, id), so folders get few files and a
-    frequent language is split by id."""
+def _written_files(spark: SparkSession, path: str) -> DataFrame | None:
+    """(path, folder, file) of what `write_by_language` has written, from names alone."""
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    except AnalysisException:
+        return None
+    name = F.regexp_extract("path", r"/language=[^/]*/file=([^/]*)/[^/]*$", 1)
+    return found.filter(name != "").select(
+        "path", F.regexp_replace("path", r"/[^/]*$", "").alias("folder"),
+        F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file"))
+
+
+def write_by_language(df: DataFrame, path: str, file_format: str = "json", files: DataFrame | None = None) -> None:
+    """One folder per language and input file. The rows of an input file take the place of
+    all its earlier ones, also of those in languages that it no longer has; other files
+    stay. `files` (file) names the input files of this run, so that one that has no row
+    any more loses its folders; without it, files with rows are replaced.
+
+    Folders that get rows are replaced when the job ends, folders that got none are
+    dropped after that. A run stopped in between leaves both, and the next one over the
+    same files drops them. A task gets a range of (language, file, id), so folders get
+    few files and a frequent language is split by id."""
+    spark = df.sparkSession
+    before = _written_files(spark, path)
+    before = None if before is None else stored(before, "written-files")
     (df.repartitionByRange("language", "file", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("language", "file").format(file_format).save(path))
+    if before is None:
+        return
+    now = _written_files(spark, path)
+    mine = now.join(before.select("path"), "path", "left_anti").select("file")
+    if files is not None:
+        mine = mine.unionByName(files.select("file"))
+    left = now.join(before.select("path"), "path", "left_semi").join(mine, "file", "left_semi")
+    # Only folders of languages that a file lost.
+    for r in left.select("folder").distinct().collect():
+        _drop_folder(spark, r.folder)
+
+
+def _drop_folder(spark: SparkSession, folder: str) -> None:
+    """Through the file system of the path, so that shared stores work as well."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def write_merged(df: DataFrame, path: str) -> None:

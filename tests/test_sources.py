@@ -10,7 +10,7 @@ from qaweave.plans.extract import extract_faq
 from qaweave.session import shared_folder
 from qaweave.sources import lines as L
 from qaweave.sources import retrieval_sets as S
-from qaweave.sources.entity_store import checkpoint_entities, stored_files
+from qaweave.sources.entity_store import checkpoint_entities, finished_files
 
 TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 
@@ -34,7 +34,7 @@ def test_quads_to_faq(spark, tmp_path):
     for n in (1, 2):
         write_gz(tmp_path / f"faq-{n}.gz", quad_file(n))
     write_gz(tmp_path / "other-1.gz", quad_file(3))
-    lines = L.read_quad_lines(spark, str(tmp_path), "faq-")
+    lines = L.read_quad_lines(spark, L.quad_files(spark, str(tmp_path), "faq-"))
     assert {r.file for r in lines.collect()} == {"faq-1", "faq-2"}
     firsts = lines.groupBy("file").agg(F.min_by("value", "pos").alias("v")).collect()
     assert all(r.v.startswith("_:p") for r in firsts)
@@ -50,26 +50,64 @@ def test_quads_to_faq(spark, tmp_path):
 
 def test_entities_are_stored_once_per_file(spark, tmp_path):
     write_gz(tmp_path / "a-1.gz", quad_file(1))
-    path = str(tmp_path / "store")
-    read = lambda: L.read_quad_lines(spark, str(tmp_path), "a", stored_files(spark, path))
-    first = checkpoint_entities(spark, read(), path).count()
-    assert first == 4
-    assert read().count() == 0 and checkpoint_entities(spark, read(), path).count() == first
+    path = str(tmp_path / "store")  # below the downloads: its folders are not read as input
+    def run(properties=None):
+        files = L.quad_files(spark, str(tmp_path), "a").join(finished_files(spark, path, properties), "file", "left_anti")
+        names = sorted(r.file for r in files.collect())
+        return names, checkpoint_entities(spark, L.read_quad_lines(spark, files), path, properties, files)
+
+    names, store = run()
+    assert names == ["a-1"] and store.count() == 4
+    names, store = run()
+    assert names == [] and store.count() == 4
     write_gz(tmp_path / "a-2.gz", quad_file(2))
-    assert {r.file for r in read().collect()} == {"a-2"}
-    store = checkpoint_entities(spark, read(), path)
-    assert {r.file for r in store.collect()} == {"a-1", "a-2"} and store.count() == 2 * first
-    other = checkpoint_entities(spark, L.read_quad_lines(spark, str(tmp_path), "a"), path, ("name",))
-    assert {r.predicate for r in other.collect()} == {"http://schema.org/name"} and checkpoint_entities(spark, read(), path).count() == 2 * first
-
-
-def test_parts_of_other_files_stay(spark, tmp_path):
+    write_gz(tmp_path / "a-3.gz", "nothing of the form\n")
+    write_gz(tmp_path / "a-4.gz", "")
+    names, store = run()
+    assert names == ["a-2", "a-3", "a-4"]
+    assert {r.file for r in store.collect()} == {"a-1", "a-2"} and store.count() == 8
+    names, store = run()
+    assert names == [] and store.count() == 8, "files without entities are read once"
+    names, store = run(("name",))
+    assert len(names) == 4 and {r.predicate for r in store.collect()} == {"http://schema.org/name"}
+    assert run()[1].count() == 8
+
+
+def test_a_stopped_job_is_done_again(spark, tmp_path):
+    """Entities without an entry in the manifest are parsed again and replaced."""
+    path, lines = str(tmp_path / "store"), spark.createDataFrame(
+        [("f", i, v) for i, v in enumerate(quad_file(1).splitlines())], "file string, pos long, value string")
+    checkpoint_entities(spark, lines, path)
+    import shutil
+    shutil.rmtree(tmp_path / "store" / "all" / "finished")
+    assert checkpoint_entities(spark, lines, path).count() == 4
+    assert [r.file for r in finished_files(spark, path).collect()] == ["f"]
+    assert checkpoint_entities(spark, lines.limit(0), path).count() == 4
+
+
+def test_no_input_files(spark, tmp_path):
+    files = L.quad_files(spark, str(tmp_path), "none-[x]")
+    assert files.count() == 0 and L.read_quad_lines(spark, files).count() == 0
+    assert L.quad_files(spark, str(tmp_path / "missing"), "a").count() == 0
+
+
+def test_parts_take_the_place_of_the_file(spark, tmp_path):
     path = str(tmp_path / "parts")
-    rows = lambda file, *ids: spark.createDataFrame([("eng", file, i) for i in ids], "language string, file string, id string")
-    L.write_by_language(rows("a-1", "x", "y"), path, "parquet")
-    L.write_by_language(rows("b-1", "z"), path, "parquet")
-    L.write_by_language(rows("a-1", "w"), path, "parquet")
-    assert {(r.file, r.id) for r in spark.read.parquet(path).collect()} == {("a-1", "w"), ("b-1", "z")}
+    def rows(*data):
+        return spark.createDataFrame(data, "language string, file string, id string")
+
+    def written():
+        return sorted((r.language or "-", r.file, r.id) for r in spark.read.schema("id string, language string, file string").parquet(path).collect())
+
+    L.write_by_language(rows(("eng", "a-1", "x"), ("eng", "a-1", "y"), ("fra", "a-1", "u"), ("eng", "a+%:1", "s")), path, "parquet")
+    L.write_by_language(rows(("eng", "b-1", "z"), (None, "b-1", "n")), path, "parquet")
+    assert len(written()) == 6
+    # A second detector finds other languages: the rows are there once.
+    L.write_by_language(rows(("deu", "a-1", "x"), ("fra", "a-1", "y"), ("deu", "a+%:1", "s")), path, "parquet")
+    assert written() == [("-", "b-1", "n"), ("deu", "a+%:1", "s"), ("deu", "a-1", "x"), ("eng", "b-1", "z"), ("fra", "a-1", "y")]
+    # A file without rows loses its folders only if the run names it.
+    L.write_by_language(rows(("eng", "c", "q")), path, "parquet", spark.createDataFrame([("a-1",), ("c",)], "file string"))
+    assert written() == [("-", "b-1", "n"), ("deu", "a+%:1", "s"), ("eng", "b-1", "z"), ("eng", "c", "q")]
 
 
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
