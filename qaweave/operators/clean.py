@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaweave import constants as C
+from qaweave.functions import grams
 from qaweave.functions import text as X
-from qaweave.functions.grams import counts
 
 
 def qa_filters(df: DataFrame) -> DataFrame:
@@ -63,14 +63,18 @@ def train_language_model(df: DataFrame, text: str, language: str, buckets: int =
     counts, of fixed size, come to the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
+        codes: dict[str, int] = {}
+        total = np.zeros((0, buckets), np.int64)
         for batch in batches:
-            for name, value in zip(batch["language"], batch["text"]):
-                found = counts(value, buckets)
-                sums[name] = sums[name] + found if name in sums else found
-        for name, total in sums.items():
-            slots = np.flatnonzero(total)
-            yield pd.DataFrame({"language": name, "slot": slots, "n": total[slots]})
+            known = np.array([codes.setdefault(name, len(codes)) for name in batch["language"]], np.int64)
+            if len(codes) > len(total):
+                total = np.concatenate((total, np.zeros((len(codes) - len(total), buckets), np.int64)))
+            for start, group in grams.groups(batch["text"].tolist()):
+                of, slot = grams.slots(group, buckets)
+                total += np.bincount(known[start + of] * buckets + slot, minlength=total.size).reshape(-1, buckets)
+        for name, row in zip(codes, total):
+            there = np.flatnonzero(row)
+            yield pd.DataFrame({"language": name, "slot": there, "n": row[there]})
 
     rows = df.select(F.col(language).alias("language"), F.col(text).alias("text")).dropna()
     table = (
@@ -90,12 +94,11 @@ def model_detector(model: LanguageModel):
 
     Any function of this form, for example around an outside model in a pandas
     UDF, can take its place."""
-    buckets = model.weights.shape[1]
+    by_slot = np.ascontiguousarray(model.weights.T)
 
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            score = np.array([model.weights @ counts(t, buckets) for t in texts])
-            score = score.reshape(-1, len(model.names)) + model.prior
+            score = grams.sums([t or "" for t in texts], by_slot) + model.prior
             share = np.exp(score - score.max(axis=1, keepdims=True))
             share /= share.sum(axis=1, keepdims=True)
             best = share.argmax(axis=1)

@@ -23,7 +23,7 @@ def hashed_grams(dims: int = 256):
 
     def load():
         def encode(texts: list[str]) -> np.ndarray:
-            out = np.array([signed_counts(t, dims) for t in texts]).reshape(-1, dims)
+            out = signed_counts([t or "" for t in texts], dims)
             return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
         return encode

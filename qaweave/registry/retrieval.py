@@ -202,12 +202,31 @@ def _(spark, sf):
     return E.query_text(A.table(spark, sf, "benchmark")).select("item_id", "query")
 
 
-@query("embed_text", None)
+def _grams_sql(name, text, dims=256):
+    """The vectors of the built-in encoder: signed counts of hashed three-grams."""
+    return f"""
+{name}_codes AS (SELECT language, id, list_transform(string_split(' ' || {text} || ' ', ''), lambda x: unicode(x)) AS c FROM faq),
+{name}_grams AS (
+  SELECT language, id, (((c[i]::HUGEINT * 1000003 + c[i + 1] * 8191 + c[i + 2]) * 11400714819323198485::HUGEINT)
+    % 18446744073709551616::HUGEINT) // 1048576 AS h FROM (SELECT *, unnest(range(1, len(c) - 1)) AS i FROM {name}_codes)),
+{name}_sums AS (
+  SELECT language, id, ((h // 2) % {dims})::INT AS slot, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS s FROM {name}_grams GROUP BY ALL),
+{name}_norm AS (SELECT language, id, greatest(sqrt(sum(s * s)), 1e-12) AS n FROM {name}_sums GROUP BY ALL),
+{name} AS (
+  SELECT f.language, f.id, list((coalesce(s.s, 0) / coalesce(n.n, 1))::FLOAT ORDER BY d.slot) AS v
+  FROM faq f CROSS JOIN (SELECT unnest(range({dims}))::INT AS slot) d
+  LEFT JOIN {name}_sums s ON s.language = f.language AND s.id = f.id AND s.slot = d.slot
+  LEFT JOIN {name}_norm n ON n.language = f.language AND n.id = f.id GROUP BY ALL)"""
+
+
+@query("embed_text", sql("SELECT language, id, v AS embedding FROM e", _grams_sql("e", "trim(concat_ws(' ', question, answer))")))
 def _(spark, sf):
     return E.embed_text(A.faq(spark, sf))
 
 
-@query("embed_qa", None)
+@query("embed_qa", sql("""
+SELECT language, id, q.v[1:64] AS question_embedding, a.v[1:64] AS answer_embedding FROM q JOIN a USING (language, id)""",
+                        _grams_sql("q", "question"), _grams_sql("a", "trim(answer)")))
 def _(spark, sf):
     return E.embed_qa(A.faq(spark, sf), dims=64)
 

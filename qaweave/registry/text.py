@@ -8,7 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from qaweave import schemas
+from qaweave.constants import SPLIT_SEED
 from qaweave.functions import text as X
+from qaweave.functions.seeded import unit_draw
 from qaweave.operators import clean, dedup, entities, quads
 from qaweave.plans.extract import extract_faq, qa_rows
 from qaweave.registry import adapters as A
@@ -347,16 +349,48 @@ def _(spark, sf):
 
 
 def _trained_detector(spark, sf):
-    model = clean.train_language_model(
-        A.table(spark, sf, "documents").select("lang", F.translate("text", "\n", " ").alias("text")),
-        "text", "lang")
+    """Learnt from a seeded half of the documents; it judges all of them."""
+    half = A.table(spark, sf, "documents").filter(unit_draw(SPLIT_SEED, F.col("doc_id").cast("string")) < 0.5)
+    model = clean.train_language_model(half.select("lang", F.translate("text", "\n", " ").alias("text")), "text", "lang")
     return clean.model_detector(model)
 
 
-@query("detect_language", sql("SELECT pos, language FROM pairs"))
+def _slots(name, source, key):
+    """Buckets of the three-grams of (key, t) in `source`, with their number."""
+    return f"""
+{name}_codes AS (SELECT {key}, list_transform(string_split(' ' || t || ' ', ''), lambda x: unicode(x)) AS c FROM {source}),
+{name} AS (
+  SELECT {key}, ((((c[i]::HUGEINT * 1000003 + c[i + 1] * 8191 + c[i + 2]) * 11400714819323198485::HUGEINT)
+    % 18446744073709551616::HUGEINT) // 1048576 % 8192)::INT AS slot, count(*) AS n
+  FROM (SELECT *, unnest(range(1, len(c) - 1)) AS i FROM {name}_codes) GROUP BY ALL)"""
+
+
+def _detected(source, key):
+    """The detector said in SQL: counts of half of the documents, add one, best language
+    and its share for the texts t of `source`."""
+    return (f"""
+known AS (SELECT lang, replace(text, chr(10), ' ') AS t FROM documents
+  WHERE ('0x' || substr(md5('{SPLIT_SEED}|' || doc_id), 1, 8))::BIGINT < 2147483648)""", _slots("known_slots", "known", "lang"), """
+mass AS (SELECT lang, sum(n) + 8192 AS m FROM known_slots GROUP BY lang),
+prior AS (SELECT lang, m, ln(m / sum(m) OVER ()) AS p FROM mass)""", _slots("found_slots", source, key), f"""
+heard AS (
+  SELECT {key}, lang, sum(s.n * ln((1 + coalesce(k.n, 0)) / m)) + any_value(p) AS score
+  FROM found_slots s CROSS JOIN prior LEFT JOIN known_slots k USING (lang, slot) GROUP BY {key}, lang),
+detected AS (
+  SELECT {key}, arg_max(lang, score) AS label, 1 / sum(exp(score - top)) AS confidence
+  FROM (SELECT *, max(score) OVER (PARTITION BY {key}) AS top FROM heard) GROUP BY {key})""")
+
+
+_CODE = "CASE label WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' END AS language"
+
+
+@query("detect_language", sql(
+    f"SELECT pos, {_CODE}, round(confidence, 6) AS confidence FROM detected WHERE confidence >= 0.63",
+    "texts AS (SELECT pos, replace(question || ' ' || answer, chr(10), ' ') AS t FROM pairs)", *_detected("texts", "pos")))
 def _(spark, sf):
     rows = A.pairs(spark, sf).select("pos", "question", "answer")
-    return clean.detect_language(rows, _trained_detector(spark, sf)).select("pos", "language")
+    return clean.detect_language(rows, _trained_detector(spark, sf)).select(
+        "pos", "language", F.round("confidence", 6).alias("confidence"))
 
 
 _QA_ROWS = f"""
@@ -372,10 +406,13 @@ def _(spark, sf):
 
 
 @query("extract_faq", sql(f"""
-SELECT id, url, scheme_host, language, question, answer, file, pos FROM (SELECT *, {_ID} AS id FROM cleaned)
-QUALIFY row_number() OVER (PARTITION BY file, id ORDER BY url, pos) = 1""", QA_CTE, _QA_ROWS))
+SELECT id, url, scheme_host, {_CODE}, round(confidence, 6) AS confidence, question, answer, file, pos
+FROM (SELECT * EXCLUDE (language), {_ID} AS id FROM cleaned) JOIN detected USING (file, pos) WHERE confidence >= 0.63
+QUALIFY row_number() OVER (PARTITION BY file, id ORDER BY url, pos) = 1""", QA_CTE, _QA_ROWS,
+                          "texts AS (SELECT file, pos, replace(question || ' ' || answer, chr(10), ' ') AS t FROM cleaned)",
+                          *_detected("texts", "file, pos")))
 def _(spark, sf):
     store = checkpoint_entities(spark, A.quad_lines(spark, sf), A.scratch(spark, "entities"),
                                 entities.QA_PROPERTIES)
     return extract_faq(store, _trained_detector(spark, sf)).select(
-        "id", "url", "scheme_host", "language", "question", "answer", "file", "pos")
+        "id", "url", "scheme_host", "language", F.round("confidence", 6).alias("confidence"), "question", "answer", "file", "pos")

@@ -123,3 +123,27 @@ def test_language_detector(spark):
     assert {(r.question, r.language) for r in found.collect()} == {
         ("the other fox", "eng"), ("der andere Fuchs", "deu")}
     assert clean.detect_language(rows, detector, 1.1).count() == 0
+
+
+def test_grams_of_many_texts_at_once():
+    import numpy as np
+
+    from qaweave.functions import grams
+
+    def one(text):
+        codes = [ord(c) for c in f" {text} "]
+        return [((a * 1000003 + b * 8191 + c) * 0x9E3779B97F4A7C15 % 2**64) >> 20 for a, b, c in zip(codes, codes[1:], codes[2:])]
+
+    texts = ["", "a", "ab", "Über \U0001F600 daß", "", "x" * 200_000, "the end"]
+    of, found = grams.hashed(texts)
+    assert [found[of == i].tolist() for i in range(len(texts))] == [one(t) for t in texts]
+    weights = np.random.default_rng(1).random((64, 3))
+    want = [sum((weights[g % 64] for g in one(t)), np.zeros(3)) for t in texts]
+    assert np.allclose(grams.sums(texts, weights), want)
+    signed = grams.signed_counts(texts, 16)
+    for t, row in zip(texts, signed):
+        own = np.zeros(16)
+        for g in one(t):
+            own[(g >> 1) % 16] += 1 if g & 1 else -1
+        assert (row == own).all()
+    assert grams.signed_counts([], 4).shape == (0, 4) and grams.sums([], weights).shape == (0, 3)
