@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qaweave.llm.texts import Words, encoded, mixed, row_key, sliced
+from qaweave.llm.texts import Words, encoded, fresh, mixed, row_key, sliced, whole_rows
 from qaweave.session import stored
 
 #: Lines of fewer words are compared exactly only: one word of five is a similarity of 0.8.
@@ -192,9 +192,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
+def count_columns(docs: DataFrame) -> tuple[str, str]:
+    """__lines and __removed, or names like them that `docs` has not."""
+    return fresh(docs, "__lines"), fresh(docs, "__removed")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of `docs`, its text without the lines that repeat an earlier one: columns
-    of `docs`, then __lines and __removed (numbers of lines).
+    of `docs`, then the two of `count_columns` (numbers of lines and of removed ones).
 
     A line is removed if an earlier line of any document has the same words, or, where both
     have five words or more, words that one edit (a word put in, left out or replaced)
@@ -209,16 +214,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A missing text stays missing and has no line; a missing doc_id is behind all others.
     Rows alike in doc_id and text are one document: they keep and lose the same lines.
-    An empty table gives an empty result. Columns of any name other than these two added
-    and __id, __th pass through.
+    An empty table gives an empty result. Columns of any name pass through.
     """
     gone = removed_lines(docs, id_col, text_col)
-    key = row_key(docs, id_col, text_col)
-    rows = docs.withColumns({"__id": key[0], "__th": key[1]}).join(
-        gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("removed").alias("__gone")).hint("shuffle_hash"), ["__id", "__th"], "left")
-    parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    lines, removed = count_columns(docs)
+    rows = whole_rows(docs, id_col, text_col).join(gone.hint("shuffle_hash"), ["id", "th"], "left")
+    own = F.col(f"row.`{text_col}`")
+    parts = F.split(own, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed"))
+    text = F.when(F.col("removed").isNull(), own).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
     return rows.select(
-        *[(text if c == text_col else F.col(c)).alias(c) for c in docs.columns],
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("__lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__removed"))
+        *[(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns],
+        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias(lines), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias(removed))

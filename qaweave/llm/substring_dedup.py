@@ -64,8 +64,9 @@ def spans(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str) -
 
 
 def packed(docs: DataFrame, wanted: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """The words of chosen super-k-mers, each as one string."""
-    per_row = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("minimiser", "hot", "start", "windows")).alias("want"))
+    """The words of chosen super-k-mers, each as one string. Rows alike in id and text want
+    the same ones, each once."""
+    per_row = wanted.groupBy("id", "th").agg(F.collect_set(F.struct("minimiser", "hot", "start", "windows")).alias("want"))
     keyed = docs.select(*row_key(docs, id_col, text_col), docs[text_col].alias("text"))
 
     def run(batches):
@@ -205,7 +206,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 8, crowd: int
     are not read.
     """
     key = row_key(docs, id_col, text_col)
-    found = cuts(docs, window, gram, crowd, id_col, text_col).groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
+    found = cuts(docs, window, gram, crowd, id_col, text_col).groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
     rows = docs.select(*key, docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(found, ["id", "th"], "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 

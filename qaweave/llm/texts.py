@@ -31,6 +31,20 @@ def kept_in_worker(name: str, make: Callable):
     return kept[name]
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `docs` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def whole_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row (all columns of `docs`), id and th: nothing can clash with the columns inside."""
+    row = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row")
+    return docs.select(row, *row_key(docs, id_col, text_col))
+
+
 def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """What tells rows apart: the id (a missing one last) and a hash of the text (a
     missing one empty). Rows alike in both get the same decisions."""

@@ -200,7 +200,8 @@ def shipped(docs: DataFrame, model: LogOdds) -> Callable[[], Scorer]:
 def learn(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_toxic: int = 3, least_clean: int = 50,
           strength: float = 20.0, drift: float = 1.5) -> tuple[LogOdds, Calibration]:
     """The model from at most `most` labelled rows, which bounds what the driver gets: the
-    units that occur in enough texts, and the segment scores of the calibration part."""
+    units that occur in enough texts, and the scores of all segments of the calibration
+    part, as a text is scored by all of its segments."""
     rows = stored(learning_rows(docs, labels, most), "toxicity-learning")
     part = rows.filter("part = 0")
     sizes = {bool(r.t): r["count"] for r in part.groupBy((F.col("toxic") > 0).alias("t")).count().collect()}
@@ -214,7 +215,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_toxic: i
         for batch in sliced(batches):
             found = [scorer.segments(t) for t in encoded(batch)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array([n for n, _ in found], pa.int64()), pa.array([sorted((s for _, _, s in f), reverse=True)[:20] for _, f in found], pa.list_(pa.float64()))],
+                [batch.column("toxic"), pa.array([n for n, _ in found], pa.int64()), pa.array([[s for _, _, s in f] for _, f in found], pa.list_(pa.float64()))],
                 ["toxic", "n", "scores"])
 
     held = rows.filter("part = 2").select("text", F.col("toxic").cast("int")).mapInArrow(run, "toxic int, n long, scores array<double>")

@@ -1,6 +1,7 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, id long, rank int, keep_id string, h string"
+SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, size long, id long, rank int, keep_id string, h string, "
+          "row int, th string, removed int, times int, __gone int, __n int, __id int, __lines int, __times int, node int")
 
 
 @pytest.fixture
@@ -8,7 +9,7 @@ def table(spark):
     """Documents with columns whose names the operators use inside."""
 
     def make(rows):
-        full = [(i, t, lang, source, len(t or ""), 7, 8, 9, "x", "y") for i, t, lang, source in rows]
+        full = [(i, t, lang, source, len(t or ""), 7, 8, 9, "x", "y", 1, "z", *range(8)) for i, t, lang, source in rows]
         return spark.createDataFrame(full, SCHEMA)
 
     return make

@@ -3,6 +3,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from qaweave.llm import line_dedup, simhash, substring_dedup
 from qaweave.llm.components import components
@@ -146,7 +147,9 @@ def test_line_dedup(table):
 
 def test_line_dedup_of_odd_rows(odd, empty):
     df = line_dedup.line_dedup(odd)
-    assert df.columns == [*odd.columns, "__lines", "__removed"]
+    # The table has a column __lines, so the number of lines takes another name.
+    assert line_dedup.count_columns(odd) == ("___lines", "__removed")
+    assert df.columns == [*odd.columns, "___lines", "__removed"]
     got = df.collect()
     assert len(got) == len(ODD)
     by_id = {r.doc_id: r for r in got if r.doc_id not in (2, 9, None)}
@@ -194,3 +197,16 @@ def test_substring_dedup_of_odd_rows(odd, empty):
     ascii_rows = [(i, t) for i, t, _, _ in ODD]
     assert Counter(map(tuple, substring_dedup.substring_dedup(odd).collect())) == passages(ascii_rows, 50)
     assert substring_dedup.substring_dedup(empty).count() == 0
+
+
+def test_passages_of_repeated_rows(table):
+    """Rows alike in id and text cost their number, not its square."""
+    passage = " ".join(f"q{i}" for i in range(80))
+    rows = [(1, passage + " first", "en", "a")] + [(None, f"x {passage} y", "en", "a")] * 2000 + [(5, passage, "en", "a")]
+    df = table(rows).repartition(4)
+    spans = substring_dedup.stored(substring_dedup.spans(df, 50, 8, "doc_id", "text"), "spans")
+    wanted = spans.select("minimiser", F.lit(False).alias("hot"), "id", "th", F.col("start"), F.col("windows"))
+    n_spans = spans.select("id", "th", "start").distinct().groupBy("id", "th").count().agg(F.max("count")).first()[0]
+    assert substring_dedup.packed(df, wanted, 50, "doc_id", "text").count() <= n_spans * len(rows)
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(df).collect())
+    assert got == {(1, 81, 0): 1, (None, 82, 80): 2000, (5, 80, 80): 1}

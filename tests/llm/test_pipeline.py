@@ -9,9 +9,10 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from check import TABLES, rows_of
-from qaweave.llm import mixing, quality, simhash
+from qaweave.llm import mixing, quality
 from tests.llm.conftest import ODD
 from tests.llm.test_pairs_lines_passages import line_rule, union
+from tests.llm.test_similar import jaccard, shingle_set
 
 SF = "/root/testdata/sf0.001"
 NAMES = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit() or n == "pipeline"]
@@ -20,7 +21,7 @@ NAMES = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit() or
 def test_names():
     assert sorted(NAMES, key=lambda n: int(n[2:].split("_")[0]) if n != "pipeline" else 0) == [
         "pipeline", "op1_exact_dedup", "op2_mix_sources", "op3_simhash", "op4_substring_dedup", "op5_line_dedup", "op6_pack",
-        "op7_secrets", "op8_toxicity", "op9_quality", "op10_shard"]
+        "op7_secrets", "op8_toxicity", "op9_quality", "op10_shard", "op11_prefix_trie", "op12_lexical_search", "op13_lattice_lm"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -64,9 +65,8 @@ def test_line_stage(stages):
 def test_near_stage(stages):
     docs, after = stages[2]
     rows = docs.collect()
-    fps = simhash.fingerprints([r.text.encode() for r in rows], 5, 42, 4)
-    far = simhash.distance_of(0.8, 4)
-    root = union(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if int(simhash.bits_apart(fps[i], fps[j])) <= far])
+    sets = [shingle_set(r.text) for r in rows]
+    root = union(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8])
     groups = defaultdict(list)
     for r, g in zip(rows, root):
         groups[g].append(r.doc_id)
@@ -109,3 +109,10 @@ def test_a_group_keeps_one_row(spark, table):
     rows = [(4, text, "en", "a"), (3, text, "en", "b"), (3, text, "en", "b"), (None, text + " z", "en", "a"), (7, "other words here in a row", "en", "a")]
     got = [r.doc_id for r in corpus_pipeline.near_stage(spark, table(rows), SF).collect()]
     assert sorted(got) == [3, 7]
+
+
+def test_rows_alike_in_id_and_text(spark, table):
+    """Which of them stays does not depend on their order or partitions."""
+    rows = [(3, "some words that stand here in a row for all to see", "en", s) for s in "dcab"]
+    kept = [{r.source for r in corpus_pipeline.near_stage(spark, table(x).repartition(n), SF).collect()} for n, x in ((1, rows), (3, rows[::-1]), (4, rows[2:] + rows[:2]))]
+    assert len(kept[0]) == 1 and kept[0] == kept[1] == kept[2]
