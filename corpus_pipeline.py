@@ -10,36 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaweave.llm import line_dedup, mixing, packing, quality, similar
-from qaweave.llm.texts import WORD, row_key
+from qaweave.llm.texts import WORD, whole_rows
 from qaweave.session import stored
 
 #: Near-duplicate stage: words of a shingle, least similarity, columns of a fingerprint.
 SHINGLE_WORDS, SIMILARITY, FINGERPRINT_WORDS = 5, 0.8, 4
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    a, b = row_key(docs)
-    return docs.withColumns({"__id": a, "__th": b})
-
-
 def _decided(docs: DataFrame, decisions: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows of `docs` with the columns of `decisions` (id, th, ...) of their key."""
-    keyed = decisions.withColumnsRenamed({"id": "__i", "th": "__t"})
-    joined = _with_key(docs).join(keyed, (F.col("__id") == F.col("__i")) & (F.col("__th") == F.col("__t")), how)
-    return joined.drop("__id", "__th", "__i", "__t")
+    """row (all columns of a row of `docs`) and the columns of `decisions` for its id, th."""
+    return whole_rows(docs).join(decisions, ["id", "th"], how)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     rejected = quality.quality(docs).filter("not kept").select("id", "th").distinct()
-    return _decided(docs, rejected, "left_anti")
+    return _decided(docs, rejected, "left_anti").select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line go, and documents left without a word by that.
     n_chars, where it is there, follows the text."""
     out = line_dedup.line_dedup(docs)
-    kept = out.filter((F.col("__removed") == 0) | F.col("text").rlike(WORD)).drop("__lines", "__removed")
+    lines, removed = line_dedup.count_columns(docs)
+    kept = out.filter((F.col(removed) == 0) | F.col("text").rlike(WORD)).drop(lines, removed)
     return kept.withColumn("n_chars", F.length("text").cast(kept.schema["n_chars"].dataType)) if "n_chars" in kept.columns else kept
 
 
@@ -49,18 +43,20 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     find candidates; links are verified similarities."""
     found = similar.similar_dedup(docs, SIMILARITY, SHINGLE_WORDS, FINGERPRINT_WORDS)
     first = stored(found.groupBy("node").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th"), "near-firsts")
-    return _decided(docs, first).transform(_one_of_each)
+    return _one_of_each(_decided(docs, first)).select("row.*")
 
 
-def _one_of_each(docs: DataFrame) -> DataFrame:
-    return _with_key(docs).dropDuplicates(["__id", "__th"]).drop("__id", "__th")
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """Of rows alike in id and text the one of least hash over all its columns."""
+    columns = [F.col(f"row.`{c}`") for c in rows.schema["row"].dataType.names]
+    return rows.groupBy("id", "th").agg(F.min_by("row", F.xxhash64(*columns)).alias("row"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often as it takes them."""
-    taken = mixing.mix(docs).filter("times > 0").groupBy("id", "th").agg(F.sum("times").cast("int").alias("__times"))
-    mixed = _decided(_one_of_each(docs), taken)
-    return mixed.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__n")
+    """The mix: documents as often as it takes them. Rows alike in id and text are one."""
+    taken = mixing.mix(docs).filter("times > 0").groupBy("id", "th").agg(F.sum("times").cast("int").alias("times"))
+    mixed = _one_of_each(whole_rows(docs)).join(taken, ["id", "th"])
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
