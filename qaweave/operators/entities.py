@@ -6,7 +6,7 @@ beside it. Nothing is collected, so an entity of any size is spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaweave.constants import (
@@ -16,6 +16,7 @@ from qaweave.constants import (
     SCHEMA_ROOTS,
     TYPE_PREDICATES,
 )
+from qaweave.functions.text import strip_angles
 from qaweave.operators.quads import decode_objects
 
 _KEY = ["file", "graph", "subject"]
@@ -38,28 +39,26 @@ def keep_types(entities: DataFrame) -> DataFrame:
 def build_entities(quads: DataFrame, raw: bool = False, properties=None) -> DataFrame:
     """One row per property value of every entity that has a type.
 
-    The last type counts, the first quad fixes the entity's order. With `raw`
-    the objects are still as written and are decoded only where used: one type
-    per entity after the aggregation, values of kept entities after the join."""
+    The last type counts, the first quad fixes the entity's order. The quads are read once:
+    one exchange by entity, and one sorted group that tells its last type and first place
+    to each of its rows (a group beyond memory goes on on disk). With `raw` the objects are
+    still as written and are decoded only where used: types of kept entities and their
+    values; what other properties say is not moved."""
     is_type = F.col("predicate").isin(list(TYPE_PREDICATES))
-    decode = decode_objects if raw else (lambda df, column: df)
-    typed = quads.select(
-        *_KEY,
-        "pos",
-        F.when(is_type, F.col("pos")).alias("type_pos"),
-        F.when(is_type, F.col("object")).alias("type_object"),
-    )
-    last_types = typed.groupBy(*_KEY).agg(
-        F.min("pos").alias("pos"), F.max_by("type_object", "type_pos").alias("type")
-    ).filter(F.col("type").isNotNull())
-    heads = keep_types(decode(last_types, "type"))
-    values = quads.filter(~is_type).withColumnRenamed("pos", "value_pos")
-    if properties is not None:
-        values = values.filter(is_property("predicate", *properties))
-    kept = values.join(heads, _KEY).select(
-        *_KEY, "pos", "type", "predicate", "value_pos", F.col("object").alias("value")
-    )
-    return decode(kept, "value")
+    wanted = ~is_type if properties is None else ~is_type & is_property("predicate", *properties)
+    entity = Window.partitionBy(*_KEY)
+    rows = quads.select(
+        *_KEY, "pos", "predicate", F.when(is_type | wanted, F.col("object")).alias("object"),
+        F.when(is_type, F.col("pos")).alias("_type_pos"), wanted.alias("_wanted"),
+    ).withColumns({
+        "type": F.max_by("object", "_type_pos").over(entity), "_first": F.min("pos").over(entity),
+    }).filter(F.col("_wanted") & F.col("type").isNotNull()).select(
+        *_KEY, F.col("_first").alias("pos"), "type", "predicate", F.col("pos").alias("value_pos"), F.col("object").alias("value"))
+    if not raw:
+        return keep_types(rows)
+    # Most types are names between angles and need no decoding to be told from the kept ones.
+    named = F.col("type").startswith('"') | strip_angles(F.col("type")).isin(_types(PAGE_TYPE, QUESTION_TYPE, ANSWER_TYPE))
+    return decode_objects(keep_types(decode_objects(rows.filter(named), "type")), "value")
 
 
 def page_main_entities(entities: DataFrame) -> DataFrame:

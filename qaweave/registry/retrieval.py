@@ -119,15 +119,15 @@ def _write_set(spark, sf, task, language, path):
     def save(df, name, split):
         df.write.json(f"{path}/{language}-{name}/{split}.jsonl")
 
-    save(_queries(spark, sf).filter(only).select(
+    # Benchmark items are queries that nobody has judged.
+    unjudged = A.table(spark, sf, "benchmark").select(
+        F.lit(language).alias("language"), F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), "text")
+    save(_queries(spark, sf).filter(only).unionByName(unjudged).select(
         F.col("query_id").alias(layout.query_id), F.col("text").alias(layout.query_text)), "queries", "queries")
     save(_corpus(spark, sf).filter(only).select(
         F.col("doc_id").alias(layout.doc_id), F.lit("t").alias("title"), "text"), "corpus", "corpus")
-    # Judgements exist for rows with a label, so some queries are not judged; rows
-    # stand in order of position, as the last one counts.
-    labelled = A.table(spark, sf, "labels").select(F.col("doc_id").alias("pos"))
-    judged = _qrels(spark, sf).filter(only).join(labelled, "pos", "left_semi")
-    save(judged.orderBy("pos", "score").select(
+    # Judgements stand in order of position, as the last one counts.
+    save(_qrels(spark, sf).filter(only).orderBy("pos", "score").select(
         F.col("query_id").alias(layout.judged_query), F.col("doc_id").alias(layout.judged_doc), "score"),
         "qrels", layout.split)
 
@@ -136,11 +136,12 @@ _TASKS = [("own", "eng"), ("passages", "fra"), ("named", "deu"), ("pooled", "spa
 
 
 @query("load_retrieval_set", sql("""
-, j AS (SELECT * FROM qrels WHERE pos IN (SELECT doc_id FROM labels)),
+, j AS (SELECT * FROM qrels),
 own AS (SELECT query_id, max_by(doc_id, pos) AS doc_id, max_by(score, pos) AS score FROM j WHERE language = 'eng' GROUP BY query_id)
 SELECT 'qrels' AS kind, 'eng' AS language, query_id AS id, doc_id || ' ' || score AS content FROM own
 UNION ALL SELECT 'qrels', language, query_id, doc_id || ' ' || score FROM j WHERE language <> 'eng'
 UNION ALL SELECT 'query', language, query_id, text FROM queries WHERE language <> 'eng' OR query_id IN (SELECT query_id FROM own)
+UNION ALL SELECT 'query', language, 'b' || item_id, text FROM benchmark, (SELECT unnest(['fra', 'deu', 'spa']) AS language)
 UNION ALL SELECT 'doc', language, doc_id, text FROM corpus""", _SET).replace("\n, j AS", ",\nj AS"))
 def _(spark, sf):
     path, out = A.scratch(spark, "sets"), None

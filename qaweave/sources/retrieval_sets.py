@@ -100,34 +100,54 @@ def load_retrieval_set(spark: SparkSession, path: str, task: str, language: str,
     return map_retrieval_set(queries, corpus, qrels, layout)
 
 
+#: What stands for a character that would end a line or begin an escape.
+_ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"))
+
+
+def _on_one_line(name: str) -> Column:
+    """Text with its line breaks written out, so that a row is a line."""
+    col = F.col(name).cast("string")
+    for character, written in _ESCAPES:
+        col = F.replace(col, F.lit(character), F.lit(written))
+    return col.alias(name)
+
+
+def _as_it_was(name: str) -> Column:
+    """Undoes `_on_one_line`: between written-out backslashes there are only line breaks."""
+    parts = F.split(F.col(f"`{name}`"), r"\\\\", -1)
+    breaks = F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.array_join(breaks, "\\").alias(name)
+
+
 def write_retrieval_set(queries: DataFrame, corpus: DataFrame, qrels: DataFrame,
                         path: str) -> None:
     """Queries as TSV without header, corpus as JSON lines without title,
-    judgements as TSV with header."""
+    judgements as TSV with header. Line breaks are written out as two characters in
+    the TSV files, so that a file can be read by many tasks."""
     def tsv(df, header):
         return df.write.mode("overwrite").option("sep", "\t").option("header", header).option(
             "escape", '"'
         )
 
-    tsv(queries.select("query_id", "text"), False).csv(f"{path}/queries")
+    tsv(queries.select(_on_one_line("query_id"), _on_one_line("text")), False).csv(f"{path}/queries")
     corpus.select(F.col("doc_id").alias("id"), F.col("text").alias("contents")).write.mode(
         "overwrite"
     ).json(f"{path}/corpus")
-    renamed = qrels.select(F.col("query_id").alias("query-id"),
-                           F.col("doc_id").alias("corpus-id"), "score")
+    renamed = qrels.select(_on_one_line("query_id").alias("query-id"),
+                           _on_one_line("doc_id").alias("corpus-id"), "score")
     tsv(renamed, True).csv(f"{path}/qrels")
 
 
 def read_retrieval_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Queries and judgements back from TSV, ids as text."""
+    """Queries and judgements back from TSV, ids as text. A row is a line: files are split."""
     def tsv(schema, header, name):
         return (
             spark.read.schema(schema).option("sep", "\t").option("header", header)
-            .option("escape", '"').option("multiLine", True).csv(f"{path}/{name}")
+            .option("escape", '"').csv(f"{path}/{name}")
         )
 
-    queries = tsv(schemas.QUERIES, False, "queries")
+    queries = tsv(schemas.QUERIES, False, "queries").select(_as_it_was("query_id"), _as_it_was("text"))
     qrels = tsv("`query-id` string, `corpus-id` string, score int", True, "qrels").select(
-        F.col("query-id").alias("query_id"), F.col("corpus-id").alias("doc_id"), "score"
+        _as_it_was("query-id").alias("query_id"), _as_it_was("corpus-id").alias("doc_id"), "score"
     )
     return queries, qrels

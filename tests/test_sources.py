@@ -178,11 +178,21 @@ def test_layout_of_pooled_set():
 
 
 def test_tsv_round_trip(spark, tmp_path):
-    queries = spark.createDataFrame([("007", 'tab\tquote " and\nline')], schemas.QUERIES)
+    texts = ['tab\tquote " and\nline', "\\n is no break, \\\\n neither", "\r\n", "\\", "\\\n\\", '"', '"a"\n"b"', "x\ty", "plain"]
+    queries = spark.createDataFrame([(f"00{i}", t) for i, t in enumerate(texts)], schemas.QUERIES).coalesce(1)
     corpus = spark.createDataFrame([("d", "t", "text")], schemas.CORPUS)
     qrels = spark.createDataFrame([("007", "0001", 1)], schemas.QRELS)
     S.write_retrieval_set(queries, corpus, qrels, str(tmp_path / "s"))
     q, r = S.read_retrieval_tsv(spark, str(tmp_path / "s"))
-    assert [tuple(x) for x in q.collect()] == [("007", 'tab\tquote " and\nline')]
+    assert [tuple(x) for x in q.collect()] == [(f"00{i}", t) for i, t in enumerate(texts)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        parts, _ = S.read_retrieval_tsv(spark, str(tmp_path / "s"))
+        assert parts.select(F.spark_partition_id()).distinct().count() > 1, "one file, several tasks"
+        assert {tuple(x) for x in parts.collect()} == {tuple(x) for x in q.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
     assert [tuple(x) for x in r.collect()] == [("007", "0001", 1)]
     assert spark.read.json(str(tmp_path / "s" / "corpus")).columns == ["contents", "id"]
