@@ -35,7 +35,7 @@ def _holds(col: Column, *parts: str) -> Column:
 
 # ---------------------------------------------------------------- literals
 
-_BLOCK_TAGS = frozenset(
+BLOCK_TAGS = frozenset(
     "address article aside blockquote br dd div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table "
     "tbody td tfoot th thead tr ul".split()
@@ -44,7 +44,7 @@ _SILENT_TAGS = frozenset(("script", "style"))
 
 
 class _TextCollector(HTMLParser):
-    """Block tags become a line break, script and style are left out."""
+    """Text without formatting: block tags are a blank, script and style are left out."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -53,18 +53,18 @@ class _TextCollector(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in _SILENT_TAGS:
             self.silent += 1
-        elif tag in _BLOCK_TAGS:
-            self.parts.append("\n")
+        elif tag in BLOCK_TAGS:
+            self.parts.append(" ")
 
     def handle_startendtag(self, tag, attrs):
-        if tag in _BLOCK_TAGS:
-            self.parts.append("\n")
+        if tag in BLOCK_TAGS:
+            self.parts.append(" ")
 
     def handle_endtag(self, tag):
         if tag in _SILENT_TAGS:
             self.silent = max(0, self.silent - 1)
-        elif tag in _BLOCK_TAGS:
-            self.parts.append("\n")
+        elif tag in BLOCK_TAGS:
+            self.parts.append(" ")
 
     def handle_data(self, data):
         if not self.silent:
@@ -75,8 +75,7 @@ def html_to_text(markup: str) -> str:
     collector = _TextCollector()
     collector.feed(markup)
     collector.close()
-    text = "".join(collector.parts)
-    return re.sub(r" {2,}", " ", re.sub(r" ?\n[ \n]*", "\n", text)).strip(" \n")
+    return re.sub(r" {2,}", " ", "".join(collector.parts)).strip(" ")
 
 
 @F.pandas_udf(StringType())

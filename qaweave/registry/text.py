@@ -167,7 +167,28 @@ def _(spark, sf):
     return X.decode_literals(X.decode_literals(rows, "question"), "answer")
 
 
-@query("html_to_text", None)
+def _unescaped(column):
+    """The entities that the pages hold, in one pass: the ampersand is the last."""
+    for name, character in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        column = f"replace({column}, '&{name};', '{character}')"
+    return column
+
+
+def _html_sql():
+    """Pages as text: elements without text, then block tags as blanks, then other tags."""
+    text = f"""replace({_unescaped(r"replace(html, chr(10), '\\n')")}, '\\t', ' ')""".replace("\\\\", "\\")
+    for pattern, to in (
+        ("(?is)<script\\b.*?</script\\s*>", ""), ("(?is)<style\\b.*?</style\\s*>", ""), ("(?s)<!--.*?-->", ""), ("<![^>]*>", ""),
+        (f"(?i)</?(?:{'|'.join(sorted(X.BLOCK_TAGS))})(?:[\\s/][^>]*)?>", " "), ("</?[a-zA-Z][^>]*>", ""),
+    ):
+        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+    text = f"trim(regexp_replace({_unescaped(text)}, '[ \\t\\r\\n\\f]+', ' ', 'g'))"
+    lines = f"string_split(replace(replace(replace({text}, '\\\"', '\"'), '\\r\\n', chr(10)), '\\n', chr(10)), chr(10))"
+    return f"""
+SELECT page_id, array_to_string(list_filter(list_transform({lines}, lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM pages"""
+
+
+@query("html_to_text", _html_sql())
 def _(spark, sf):
     written = F.concat(F.lit('"'), F.replace(F.col("html"), F.lit("\n"), F.lit("\\n")), F.lit('"'))
     return X.decode_literals(A.table(spark, sf, "pages").select("page_id", written.alias("text")), "text")

@@ -27,7 +27,7 @@ def apply(spark, rule, values):
     (f'_:x <http://schema.org/name> "" {GRAPH}', ("_:x", "")),
     (f'  <http://s> <http://schema.org/text> "one\\r\\n \\n two\\tthree"   {GRAPH}  ', None),
     (f'  <http://s> <http://schema.org/text> "one\\r\\n \\n two\\tthree" {GRAPH}  ', ("http://s", "one\ntwo three")),
-    (f'<http://s> <http://schema.org/text> "x <script>var a=1;</script><b>y</b><br>z" {GRAPH}', ("http://s", "x y\nz")),
+    (f'<http://s> <http://schema.org/text> "x <script>var a=1;</script><b>y</b><br>z" {GRAPH}', ("http://s", "x y z")),
     (f'<http://s> <http://schema.org/text> "caf\\u00e9" {GRAPH}', ("http://s", "caf\\u00e9")),
 ])
 def test_quad_lines(spark, line, expected):
@@ -147,3 +147,22 @@ def test_grams_of_many_texts_at_once():
             own[(g >> 1) % 16] += 1 if g & 1 else -1
         assert (row == own).all()
     assert grams.signed_counts([], 4).shape == (0, 4) and grams.sums([], weights).shape == (0, 3)
+
+
+def test_html_without_formatting():
+    from qaweave.functions.text import html_to_text
+
+    golden = {
+        "<ul><li>one</li><li>two</li></ul>": "one two", "<p>a</p>\n\n<p>b<br/>c</p>": "a b c", "a <b>b</b>c": "a bc",
+        "<div>x<script>if (a < b) {}</script>y</div>": "xy", "1 < 2 &amp; 3": "1 < 2 & 3", "<!-- no --><td>t\tu</td>": "t u",
+        "": "", "<p></p>": "", "<a href='/x>y'>link</a> after": "link after", "<H1>Big</H1>small": "Big small"}
+    assert {k: html_to_text(k) for k in golden} == golden
+
+
+def test_only_written_breaks_count_as_lines(spark):
+    """An answer of many block tags has no line breaks; written-out ones stay."""
+    from qaweave.functions import text as X
+
+    df = spark.createDataFrame([('"' + "<p>x</p>" * 20 + '"@en',), ('"a\\nb<br>c"',)], "v string")
+    got = [r.v for r in X.decode_literals(df, "v").collect()]
+    assert got == [" ".join("x" * 20), "a\nb c"]
