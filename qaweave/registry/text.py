@@ -95,7 +95,7 @@ def _written_lines(spark, sf):
     "SELECT graph, value, row_number() OVER (PARTITION BY graph ORDER BY pos) AS line_in_graph FROM quad_lines",
     LINE_CTE))
 def _(spark, sf):
-    lines = L.read_quad_lines(spark, _written_lines(spark, sf), "part-")
+    lines = L.read_quad_lines(spark, L.quad_files(spark, _written_lines(spark, sf), "part-"))
     graph = F.regexp_extract("value", r"<([^<>]*)>\s{3}\.$", 1)
     order = Window.partitionBy("file", "graph").orderBy("pos")
     return lines.withColumn("graph", graph).select(

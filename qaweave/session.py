@@ -46,13 +46,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a result that several branches read, so that Python stages run once
-    and a lost executor cannot make the branches disagree."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a result as a Parquet table in the shared folder and read it back:
     later readers prune its columns, and a lost executor costs them nothing."""
