@@ -103,7 +103,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     the documents of one length are dealt into runs of about `run_rows` by that hash, whole
     runs are taken and one run is ranked, so a hot source or length is never in one task.
 
-    A missing text has no words and is never taken; a missing source is one source, last
+    Texts are counted whole, however long; equal lengths of a source are told apart by the
+    seeded hash alone. A missing text has no words and is never taken; a missing source is one source, last
     in order; a missing id is hashed as the largest id. Repeated rows count as documents of
     their own; which of rows alike in id, source and text is taken does not matter. No
     table row is left out: an empty table gives an empty result. Other columns are not read.

@@ -148,7 +148,8 @@ def quality(docs: DataFrame, width: float = 4.0, least_docs: int = 50, tokenizer
     texts have less entropy); one measure outside rejects, as does a base rule. Bands come
     from the distinct texts of all documents, by mergeable quantile sketches.
 
-    A missing text is empty and fails the base rules; a missing language is a group of its
+    Texts are measured whole, however long; texts of equal measures, language and size get
+    the same verdict. A missing text is empty and fails the base rules; a missing language is a group of its
     own; sizes too rare for a band take the language's for all sizes (entropy aside), and
     languages too rare for one reject by the base rules only. Repeated rows each get
     a row, and texts count once in a language's bands. An empty table gives an empty result. Other columns are not read.

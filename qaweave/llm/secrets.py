@@ -145,8 +145,9 @@ def find_secrets(docs: DataFrame, rate: float = 0.002, alpha: float = 0.001, id_
 
     Two passes over the texts, no text moves: the first counts tokens by class and tenth of
     a standard deviation (a table of bounded size), the second applies the limits found. All
-    steps are Column expressions. A missing text is empty, an empty text has no span; a
-    missing id stays missing; repeated rows each get a row and count each. An empty table
+    steps are Column expressions. Texts are scanned whole, however long; matches of a form do
+    not overlap, spans of two forms may, and spans of equal start are in the order of the
+    forms. A missing text is empty, an empty text has no span; a missing id stays missing; repeated rows each get a row and count each. An empty table
     gives an empty result. Other columns are not read.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
