@@ -1,7 +1,10 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All
-but the last return the columns of `docs`, whatever they are.
+but the last return the columns of `docs`, whatever they are and are called: rows are kept
+whole beside their key. A missing text is empty, a missing doc_id is behind all others,
+texts are read whole however long, rows alike in doc_id and text are decided alike (from the
+near-duplicate stage on one of them is left), and an empty table gives an empty one.
 """
 
 from __future__ import annotations
