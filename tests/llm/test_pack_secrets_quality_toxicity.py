@@ -1,8 +1,11 @@
+import math
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter, defaultdict
+from statistics import NormalDist
 
 import numpy as np
 import public_tokenizers
@@ -97,6 +100,110 @@ def test_randomness_battery(table):
     assert sum(bool(got[i]) for i in range(60, 420)) <= 3
 
 
+def z_tests(codes, size):
+    """The three tests as the formulas are written, number by number."""
+    n = len(codes)
+    counts = Counter(codes)
+    mean = sum(codes) / n
+    high = [c > size / 2 for c in codes]
+    expected = 2 * sum(high) * (n - sum(high)) / n + 1
+    turns = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    spread = sum((c - mean) ** 2 for c in codes)
+    uniform = (sum((k - n / size) ** 2 / (n / size) for k in [counts[c] for c in range(1, size + 1)]) - (size - 1)) / math.sqrt(2 * (size - 1))
+    runs = (turns - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 0.25))
+    serial = (sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / spread + 1 / n) * math.sqrt(n) if len(counts) > 1 else 99.0
+    return uniform, runs, serial
+
+
+def spans_by_force(texts, rate=0.002, alpha=0.001):
+    """Spans of kind random of each text: words, pairs, tokens, tests and limits one by one."""
+    words = {w for t in texts for w in re.findall(r"(?<![a-z0-9+/_=-])[a-z]{2,19}(?![a-z0-9+/_=-])", t.lower())}
+    pairs = Counter(w[k:k + 2] for w in words for k in range(len(w) - 1))
+    odds_of = {name: secrets.pair_odds(pairs, symbols) for name, _, symbols in secrets.ENCODINGS}
+    one, two = (NormalDist().inv_cdf(1 - alpha / k) for k in (3, 6))
+    found, classes = defaultdict(list), defaultdict(dict)
+    for i, t in enumerate(texts):
+        base = base_spans(t)
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", t):
+            if not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])) or any(a < m.end() and m.start() < b for a, _, _, b in base):
+                continue
+            v = m[0].rstrip("=")
+            name, symbols = next((n, s) for n, p, s in secrets.ENCODINGS if re.search(p, v))
+            codes = [symbols.index(c) + 1 for c in (v.translate(str.maketrans("-_", "+/")) if name in ("base62", "base64") else v.lower())]
+            odds = sum(odds_of[name][(a - 1) * len(symbols) + b - 1] for a, b in zip(codes, codes[1:]))
+            u, r, s = z_tests(codes, len(symbols))
+            passes = u <= one and abs(r) <= two and abs(s) <= two
+            group = name, math.floor(4 * math.log2(len(v)))
+            classes[group][v] = odds, passes
+            found[i].append((m.start(), m.end(), group, odds, passes))
+    limits = {}
+    for group, tokens in classes.items():
+        for x in sorted({math.floor(min(max(o, 0), 100) * 10) / 10 for o, _ in tokens.values()}):
+            taken = sum(p and min(o, 100) >= x for o, p in tokens.values())
+            if taken and math.exp(-x) * len(tokens) <= rate * taken:
+                limits[group] = x
+                break
+    return {i: [(a, 3, "random", b) for a, b, g, o, p in of if p and o >= limits.get(g, math.inf)] for i, of in found.items()}
+
+
+def token_texts(seed, share):
+    """Texts of ordinary words, identifiers, and random tokens of several encodings."""
+    rng = random.Random(seed)
+    words = "user profile picture upload default handler service internal config version index manager session static image the of and to".split()
+    letters = {"hex": ("0123456789ABCDEF", (40, 64)), "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", (24, 32)),
+               "base36": (string.ascii_lowercase + string.digits, (24, 40)), "base64": (string.ascii_letters + string.digits + "+/", (20, 24, 40))}
+    texts = []
+    for i in range(1500):
+        parts = [rng.choice(words) for _ in range(8)]
+        kind = rng.choice(["_", "-", "/", "", "Cap"])
+        name = [rng.choice(words) for _ in range(5)]
+        parts.append(("".join(w.title() for w in name) if kind == "Cap" else kind.join(name)) + str(rng.randrange(9999)))
+        parts.append("".join(rng.choice("0123456789") for _ in range(24)) + rng.choice("ABCDEF"))
+        if rng.random() < share:
+            alphabet, sizes = letters[rng.choice(list(letters))]
+            parts.append("".join(rng.choice(alphabet) for _ in range(rng.choice(sizes))) + rng.choice(["", "=", "=="]))
+        if rng.random() < 0.2:
+            parts.append("token=" + "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(30)) + "😀")
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    return texts + ["", "a" * 30 + "1", "0A" * 20]
+
+
+@pytest.mark.parametrize("seed, share", [(1, 0.02), (2, 0.3), (3, 0.0)])
+def test_random_tokens_by_force(table, seed, share):
+    texts = token_texts(seed, share)
+    want = spans_by_force(texts)
+    got = {r.doc_id: [tuple(s) for s in r.spans if s.kind == "random"] for r in secrets.find_secrets(table([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert {i: s for i, s in got.items() if s} == {i: s for i, s in want.items() if s}
+    if not share:
+        assert not any(got.values())
+
+
+def test_power_at_a_small_share(table):
+    """Random tokens of one encoding and length among a hundred times as many ordinary ones."""
+    rng = random.Random(9)
+    texts = [t for k in range(2) for t in token_texts(20 + k, 0)[:1500]]
+    for size in (24, 32):
+        alphabet = string.ascii_letters + string.digits
+        texts += ["see " + "".join(rng.choice(alphabet) for _ in range(size - 1)) + "7 there" for _ in range(15)]
+    got = {r.doc_id: [s for s in r.spans if s.kind == "random"] for r in secrets.find_secrets(table([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert sum(bool(got[i]) for i in range(3000)) <= 1
+    assert sum(bool(got[i]) for i in range(3000, 3030)) >= 27
+
+
+def test_many_matches_and_long_tokens(table):
+    rng = random.Random(3)
+    digests = "\n".join("%032x  f%d" % (rng.getrandbits(128), i) for i in range(100_000))
+    blob = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(200_000))
+    names = " ".join(f"some_long_identifier_{i}" for i in range(50_000))
+    started = time.time()
+    got = {r.doc_id: r for r in secrets.find_secrets(table([(1, digests, "en", "a"), (2, blob, "en", "a"), (3, names, "en", "a")])).collect()}
+    assert time.time() - started < 120
+    assert [tuple(s) for s in got[1].base] == base_spans(digests)
+    assert [tuple(s) for s in got[2].spans if s.kind == "random"] == [(0, 3, "random", 200_000)]
+    assert not got[3].spans
+
+
 def test_secrets_of_odd_rows(odd, empty):
     assert Counter(r.doc_id for r in secrets.find_secrets(odd).collect()) == Counter(i for i, *_ in ODD)
     assert secrets.find_secrets(empty).count() == 0
