@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import uuid
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaweave import schemas
-from qaweave.operators import clean, dedup, embed, labels, neardup, parallel, runs, sampling, stats
+from qaweave.operators import clean, dedup, embed, labels, metrics, neardup, parallel, runs, sampling, stats
 from qaweave.operators.ranking import bm25_topk, dense_topk
 from qaweave.plans.evaluate import RUN_DEPTH, evaluate_dense, evaluate_hybrid, evaluate_sparse
 from qaweave.plans.extract import extract_faq
@@ -165,7 +167,9 @@ def generate_jsonl(f: Folder, a) -> None:
 
 def evaluate(f: Folder, a) -> None:
     """Results of the languages named (joined by commas), in one job: BM25, and with an
-    encoder the dense and the fused run. Earlier results of the same entries are replaced."""
+    encoder the dense and the fused run. All runs are kept in result_runs/; results/ has the
+    run of each entry that began last, so a run that ends late does not replace a newer one."""
+    run = f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%S.%f} {uuid.uuid4().hex}"
     sets = [_with_language(load_retrieval_set(f.spark, a.sets, a.task, x), x) for x in a.language.split(",")]
     queries, corpus, qrels = (reduce(DataFrame.unionByName, tables) for tables in zip(*sets))
     out = evaluate_sparse(queries, corpus, qrels, a.task)
@@ -174,7 +178,13 @@ def evaluate(f: Folder, a) -> None:
         sparse, dense = bm25_topk(queries, corpus, RUN_DEPTH), stored(dense_topk(*encoded, RUN_DEPTH), "dense-run")
         out = out.unionByName(evaluate_dense(*encoded, qrels, a.task, a.encoder, run=dense)).unionByName(
             evaluate_hybrid(sparse, dense, qrels, a.task))
-    f.replace(out, "results", "task", "language", "model")
+    out.withColumn("run", F.lit(run)).write.mode("append").parquet(f.path("result_runs"))
+    _newest(f, a.task, a.language.split(","))
+
+
+def _newest(f: Folder, task: str, languages: list[str]) -> None:
+    runs = f.read("result_runs").filter((F.col("task") == task) & F.col("language").isin(languages))
+    f.replace(metrics.newest_results(runs).drop("run"), "results", "task", "language", "model")
 
 
 def sample(f: Folder, a) -> None:

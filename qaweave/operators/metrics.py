@@ -142,3 +142,11 @@ def upsert_results(old: DataFrame, new: DataFrame,
     """Earlier results with the entries of the new run replaced."""
     entry = list(entry)
     return old.join(new.select(*entry).distinct(), entry, "left_anti").unionByName(new)
+
+
+def newest_results(runs: DataFrame, entry=("task", "language", "model"), run: str = "run") -> DataFrame:
+    """Of each entry the results of the run that began last, whichever ended last. `run`
+    sorts by the time of beginning and names one run."""
+    entry = list(entry)
+    last = runs.groupBy(*entry).agg(F.max(run).alias(run))
+    return runs.join(last, [*entry, run], "left_semi")

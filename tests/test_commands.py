@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from qaweave.__main__ import main
+from qaweave.__main__ import Folder, _newest, main
 from qaweave.registry import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -52,6 +52,13 @@ def test_retrieval_and_training(spark, tmp_path):
     results = spark.read.parquet(f"{root}/results").collect()
     assert {r.language for r in results} == {"eng"} and len({r.model for r in results}) == 3
     assert all(0.0 <= r.value <= 1.0 for r in results)
+    runs = spark.read.parquet(f"{root}/result_runs")
+    assert runs.select("run").distinct().count() == 2 and runs.count() == 2 * len(results)
+    # A run that began earlier and ends now changes nothing.
+    runs.limit(1).select("task", "language", "model", "metric", "k", F.lit(0.5).alias("value"), F.lit("2000-01-01").alias("run")).write.mode(
+        "append").parquet(f"{root}/result_runs")
+    _newest(Folder(spark, root), "own", ["eng"])
+    assert sorted(map(repr, spark.read.parquet(f"{root}/results").collect())) == seen[1][0]
     assert spark.read.text(f"{root}/bm25/own/eng", recursiveFileLookup=True).count() > 0
     main(["batches", root])
     assert spark.read.parquet(f"{root}/batches").count() % 128 == 0
