@@ -107,3 +107,19 @@ def test_bitexts(spark):
     out = parallel.to_bitexts(spark.createDataFrame(data, SCORES), min_rows=2)
     assert [(r.pair, r.labse_similarity) for r in out.orderBy("labse_similarity").collect()] == [
         ("deu_eng", 0.9), ("deu_eng", 0.95)]
+
+
+def test_texts_are_encoded_a_slice_at_a_time(spark):
+    def sizes():
+        def encode(texts):
+            return np.array([[len(texts), sum(len(t or "") for t in texts), 7.0]] * len(texts))
+
+        return encode
+
+    rows = [("e", str(i), "q" * 3000 if i % 2 else None, " a ") for i in range(3000)]
+    df = spark.createDataFrame(rows, "language string, id string, question string, answer string").coalesce(1)
+    out = embed.embed_qa(df, sizes, sizes, 2).collect()
+    assert len(out) == 3000 and {len(r.question_embedding) for r in out} == {2}
+    assert max(r.answer_embedding[0] for r in out) <= embed.SLICE_ROWS
+    assert max(r.question_embedding[1] for r in out) <= embed.SLICE_BYTES
+    assert {r.answer_embedding[1] / r.answer_embedding[0] for r in out} == {1.0}
