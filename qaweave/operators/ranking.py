@@ -9,24 +9,26 @@ language code (three letters, at most 17,576), which bounds what is broadcast.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaweave import constants as C
+from qaweave.operators.postings import NEAR, Queries, chunks
 from qaweave.operators.streams import HELD, PASSING, Best, in_cells, matrix, streamed
 from qaweave.session import stored
 
 # A document is copied once for each block of queries, a query once for each part of
 # the corpus; a query gives back at most k rows for each part.
-QUERY_ROWS = 16384
+QUERY_ROWS = 65536
 DOC_ROWS = 262144
-#: Kept hits of a block of queries (20 bytes each), scores and score parts of a stripe.
-MOST_KEPT, MOST_SCORES, MOST_PARTS = 4_000_000, 1_000_000, 4_000_000
-LEAST_QUERY_ROWS = 256
-#: Share of the held queries that makes a term a column of a matrix.
-SHARED_TERM = 1 / 32
+#: Kept hits of a block of queries (12 bytes each), scores of a stripe of vectors.
+MOST_KEPT, MOST_SCORES = 8_000_000, 1_000_000
+#: Below so many rows blocks are not cut to give every core one; cells a core then has.
+LEAST_QUERY_ROWS, LEAST_DOC_ROWS, CELLS = 256, 16384, 4
 SCORE_DIGITS = 9
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 _CELL = ["language", "q_block", "d_block"]
@@ -39,18 +41,22 @@ def _tokens(text):
 
 def _block_counts(queries: DataFrame, corpus: DataFrame, k: int, q_rows: int | None, d_rows: int | None) -> DataFrame:
     """One row per language: into how many blocks queries and documents are cut. Without
-    given sizes, blocks of queries are as large as their hits allow, but small enough to
-    give every core one."""
+    given sizes, blocks of queries are as large as their hits allow, and the cells are
+    enough for every core; where few hits leave, the corpus is cut for that, else the queries."""
     cores = queries.sparkSession.sparkContext.defaultParallelism
 
-    def sized(df, name, blocks):
-        return df.groupBy("language").agg(F.greatest(F.lit(1), blocks).cast("int").alias(name))
+    def sized(df, name):
+        return df.groupBy("language").agg(F.count(F.lit(1)).alias(name))
 
-    n = F.count(F.lit(1))
     large = q_rows or max(1, min(QUERY_ROWS, MOST_KEPT // k))
-    few = F.lit(0) if q_rows else F.least(F.lit(cores), F.ceil(n / LEAST_QUERY_ROWS))
-    return sized(queries, "n_q", F.greatest(F.ceil(n / large), few)).join(
-        sized(corpus, "n_d", F.ceil(n / F.lit(d_rows or max(DOC_ROWS, 16 * k)))), "language")
+    least = max(LEAST_DOC_ROWS, 1600 * k)
+    n_q, n_d = F.ceil(F.col("q") / large), F.ceil(F.col("d") / F.lit(d_rows or max(DOC_ROWS, 16 * k)))
+    if not d_rows:
+        n_d = F.greatest(n_d, F.least(F.ceil(F.col("d") / least), F.ceil(F.lit(CELLS * cores) / n_q)))
+    if not q_rows:
+        n_q = F.greatest(n_q, F.least(F.ceil(F.col("q") / LEAST_QUERY_ROWS), F.ceil(F.lit(cores) / n_d)))
+    return sized(queries, "q").join(sized(corpus, "d"), "language").select(
+        "language", F.greatest(F.lit(1), n_q).cast("int").alias("n_q"), F.greatest(F.lit(1), n_d).cast("int").alias("n_d"))
 
 
 def _cells(df: DataFrame, counts: DataFrame, side: int, key: str, own: str, n_own: str, other: str,
@@ -67,33 +73,26 @@ def _cells(df: DataFrame, counts: DataFrame, side: int, key: str, own: str, n_ow
     )
 
 
-def _hits(queries: DataFrame, corpus: DataFrame, counts: DataFrame, k: int, positive: bool, scorer) -> DataFrame:
-    """Rows of `queries` (query_id) and `corpus` (doc_id), alike in their other columns, to
-    each query's best `k`. `scorer` makes of the held rows a function from passing rows to
-    a matrix of scores. Documents pass in descending order of their id, which settles ties."""
+def _searched(queries: DataFrame, corpus: DataFrame, counts: DataFrame, search, schema: str) -> DataFrame:
+    """What `search` makes of the held rows of `queries` (query_id) and the passing ones of
+    `corpus` (doc_id), alike in their other columns. Documents pass in descending order of
+    their id, which settles ties."""
     left = _cells(queries, counts, HELD, "query_id", "q_block", "n_q", "d_block", "n_d")
     right = _cells(corpus, counts, PASSING, "doc_id", "d_block", "n_d", "q_block", "n_q")
 
     def run(batches):
         for held, passing in streamed(batches, _CELL):
-            if held is None:
-                continue
-            scores_of = scorer(held)
-            best = Best(len(held), k, 0.0 if positive else -np.inf)
-            rows = max(1, MOST_SCORES // len(held))
-            for batch in passing:
-                names = batch.column("row_id").to_numpy(zero_copy_only=False)
-                for start in range(0, batch.num_rows, rows):
-                    scores = scores_of(batch.slice(start, rows))
-                    q, d = np.nonzero(scores > best.limit[:, None] - 10.0 ** -SCORE_DIGITS)
-                    best.add(names[start:start + rows], q, d, np.round(scores[q, d], SCORE_DIGITS))
-            q, doc_id, score = best.found()
-            if len(q):
-                yield pa.RecordBatch.from_arrays([
-                    held.column("language").combine_chunks().take(pa.array(q)), held.column("row_id").combine_chunks().take(pa.array(q)),
-                    pa.array(doc_id, pa.string()), pa.array(score)], ["language", "query_id", "doc_id", "score"])
-
-    return in_cells(left.unionByName(right), _CELL, F.desc("row_id")).mapInArrow(run, _RUN)
+            if held is not None:
+                yield from search(held, passing)
+
+    return in_cells(left.unionByName(right), _CELL, F.desc("row_id")).mapInArrow(run, schema)
+
+
+def _found(held: pa.Table, best: Best) -> Iterator[pa.RecordBatch]:
+    for q, doc_id, score in best.parts():
+        if len(q):
+            own = [held.column(c).combine_chunks().take(pa.array(q)) for c in ("language", "row_id")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(doc_id, pa.string()), pa.array(score)], ["language", "query_id", "doc_id", "score"])
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -101,100 +100,140 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _postings(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Query terms with a number for each, documents with their numbers of query terms
-    (repeats included) and sizes per language. The corpus is cut into tokens once."""
-    query_terms = stored(
-        queries.select("language", "query_id", F.explode(_tokens(F.col("text"))).alias("term"))
-        .groupBy("language", "query_id", "term")
-        .agg(F.count(F.lit(1)).alias("q_tf")), "query-terms")
-    vocabulary = stored(query_terms.select("language", "term").distinct().withColumn("code", F.monotonically_increasing_id()), "terms")
+def _postings(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries with the terms they share with the corpus and their weights, documents with
+    all their terms (repeats included) and the part of their length in the score. A term is
+    its 64-bit hash. A text is cut into tokens once, and no token is a row that moves."""
+
+    def terms(df, key):
+        code = F.transform(F.col("tokens"), lambda t: F.xxhash64(t))
+        return df.select("language", key, _tokens(F.col("text")).alias("tokens")).select(
+            "language", key, F.size("tokens").alias("size"), code.alias("codes"))
+
     postings = stored(
-        corpus.select("language", "doc_id", _tokens(F.col("text")).alias("tokens"))
-        .select("language", "doc_id", F.size("tokens").alias("doc_len"), F.explode_outer("tokens").alias("term"))
-        .join(vocabulary, ["language", "term"], "left")
-        .groupBy("language", "doc_id").agg(F.first("doc_len").alias("doc_len"), F.collect_list("code").alias("codes")), "postings")
+        terms(corpus, "doc_id").groupBy("language", "doc_id").agg(
+            F.first("size").alias("doc_len"), F.sort_array(F.flatten(F.collect_list("codes"))).alias("codes")), "postings")
     sizes = postings.groupBy("language").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    return query_terms.join(vocabulary, ["language", "term"]).select("language", "query_id", "code", "q_tf"), postings, sizes
+    df = postings.select("language", F.explode(F.array_distinct("codes")).alias("code")).groupBy("language", "code").agg(
+        F.count(F.lit(1)).alias("df"))
+    query_terms = (
+        terms(queries, "query_id").select("language", "query_id", F.explode("codes").alias("code"))
+        .groupBy("language", "query_id", "code").agg(F.count(F.lit(1)).alias("q_tf"))
+    )
+    idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = stored(
+        query_terms.join(df, ["language", "code"]).join(F.broadcast(sizes), "language")
+        .groupBy("language", "query_id").agg(
+            F.collect_list("code").alias("codes"), F.collect_list(idf * F.col("q_tf")).alias("weights")), "query-terms")
+    return weighted, postings.join(F.broadcast(sizes), "language")
 
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float = 0.9,
-              b: float = 0.4, q_rows: int | None = None, d_rows: int | None = None) -> DataFrame:
+              b: float = 0.4, q_rows: int | None = None, d_rows: int | None = None, judged: DataFrame | None = None) -> DataFrame:
     """queries (language, query_id, text), corpus (language, doc_id, text) to the
     first k documents with a common term.
 
-    Terms of queries have numbers; a document keeps the numbers it holds. In a task
-    the numbers of a stripe meet those of all held queries in one sorted merge; terms
-    that many of the held queries share are a matrix product."""
-    query_terms, postings, sizes = _postings(queries, corpus)
-    counts = _block_counts(queries, corpus, k, q_rows, d_rows)
-    df = postings.select("language", F.explode(F.array_distinct("codes")).alias("code")).groupBy("language", "code").agg(
-        F.count(F.lit(1)).alias("df"))
-    idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = (
-        query_terms.join(df, ["language", "code"]).join(F.broadcast(sizes), "language")
-        .groupBy("language", "query_id").agg(
-            F.collect_list("code").alias("codes"), F.collect_list(idf * F.col("q_tf")).alias("weights"))
-        .withColumn("length", F.lit(0.0))
-    )
+    A task turns a chunk of the documents that pass around and reads the lists of a
+    query's terms; documents that cannot reach the k-th score so far are left out early.
+
+    With `judged` (language, query_id, doc_id) only the rows of these pairs leave, each
+    with its rank among all documents, if that is k at most. Nothing is kept for a query
+    then but the number of documents before its judged ones."""
+    weighted, postings = _postings(queries, corpus)
     length = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("doc_len") / F.col("avg_len"))
-    documents = postings.join(F.broadcast(sizes), "language").select(
-        "language", "doc_id", "codes", F.array().cast("array<double>").alias("weights"), length.alias("length"))
-
-    def scorer(held):
-        codes = held.column("codes").combine_chunks()
-        code = codes.flatten().to_numpy()
-        query = np.repeat(np.arange(len(held)), np.diff(codes.offsets.to_numpy()))
-        weight = held.column("weights").combine_chunks().flatten().to_numpy()
-        order = np.argsort(code, kind="stable")
-        query, weight = query[order], weight[order]
-        known, first = np.unique(code[order], return_index=True)
-        first = np.append(first, len(code))
-        shared = np.flatnonzero(np.diff(first) > len(held) * SHARED_TERM)
-        shared = shared[np.argsort(-np.diff(first)[shared], kind="stable")[:MOST_KEPT // len(held)]]
-        column = np.full(len(known), -1)
-        column[shared] = np.arange(len(shared))
-        of_entry = column[np.repeat(np.arange(len(known)), np.diff(first))]
-        shared_weights = np.zeros((len(held), len(shared)))
-        shared_weights[query[of_entry >= 0], of_entry[of_entry >= 0]] = weight[of_entry >= 0]
-
-        def scores_of(part):
-            lists = part.column("codes")
-            doc = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-            code = lists.flatten().to_numpy()
-            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-            there = known[at] == code
-            pair, tf = np.unique(doc[there] * len(known) + at[there], return_counts=True)
-            doc, at = pair // len(known), pair % len(known)
-            share = tf / (tf + part.column("length").to_numpy()[doc])
-            often = column[at] >= 0
-            shares = np.zeros((len(shared), part.num_rows))
-            shares[column[at[often]], doc[often]] = share[often]
-            scores = shared_weights @ shares
-            doc, at, share = doc[~often], at[~often], share[~often]
-            many = first[at + 1] - first[at]
-            flat, ends, start = scores.reshape(-1), np.cumsum(many), 0
-            while start < len(many):
-                base = ends[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, base + MOST_PARTS, side="right")))
-                n = many[start:stop]
-                of = np.repeat(np.arange(start, stop), n)
-                i = np.arange(len(of)) - np.repeat(ends[start:stop] - n - base, n) + first[at[of]]
-                np.add.at(flat, query[i] * part.num_rows + doc[of], weight[i] * share[of])
-                start = stop
-            return scores
-
-        return scores_of
-
-    return _ranked(_hits(weighted, documents, counts, k, True, scorer), k)
+    documents = postings.select("language", "doc_id", "codes", length.alias("length"))
+    if judged is not None:
+        return _places(weighted, documents, judged, k, q_rows, d_rows)
+    counts = _block_counts(weighted, documents, k, q_rows, d_rows)
+
+    def search(held, passing):
+        mine = Queries(held)
+        best = Best(mine.n, k, 0.0)
+        for names, chunk in chunks(mine, passing):
+            for q, docs, scores in chunk.above(mine, np.arange(mine.n), best.limit):
+                if len(docs) > 2 * k:
+                    there = scores >= np.partition(scores, -k)[-k] - NEAR
+                    docs, scores = docs[there], scores[there]
+                best.add(names, np.full(len(docs), q), docs, np.round(scores, SCORE_DIGITS))
+            best.settle()
+        yield from _found(held, best)
+
+    found = _searched(weighted.withColumn("length", F.lit(0.0)), documents.withColumn("weights", F.array().cast("array<double>")), counts, search, _RUN)
+    return _ranked(found, k)
+
+
+def _places(weighted: DataFrame, documents: DataFrame, judged: DataFrame, k: int, q_rows: int | None, d_rows: int | None) -> DataFrame:
+    """Score and rank of judged documents among the first k of their queries."""
+
+    def scored(batches):
+        for batch in batches:
+            scores = np.zeros(batch.num_rows)
+            columns = [batch.column(c) for c in ("q_codes", "weights", "codes", "length")]
+            for i in range(batch.num_rows):
+                q_codes, weights, codes = (c[i].values.to_numpy() for c in columns[:3])
+                known, tf = np.unique(codes, return_counts=True)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, q_codes), len(known) - 1)
+                    there = known[at] == q_codes
+                    tf = tf[at[there]]
+                    scores[i] = np.sum(weights[there] * (tf / (tf + columns[3][i].as_py())))
+            scores = np.round(scores, SCORE_DIGITS)
+            rows = pa.RecordBatch.from_arrays([batch.column(c) for c in ("language", "query_id", "doc_id")] + [pa.array(scores)], ["language", "query_id", "doc_id", "score"])
+            yield rows.filter(pa.array(scores > 0))
+
+    targets = (
+        judged.select("language", "query_id", "doc_id").distinct()
+        .join(weighted.withColumnRenamed("codes", "q_codes"), ["language", "query_id"]).join(documents, ["language", "doc_id"])
+        .select("language", "query_id", "doc_id", "q_codes", "weights", "codes", "length").mapInArrow(scored, _RUN)
+        .groupBy("language", "query_id").agg(F.collect_list(F.struct("doc_id", "score")).alias("targets"))
+    )
+    counts = _block_counts(weighted, documents, 1, q_rows, d_rows)
+
+    def search(held, passing):
+        mine = Queries(held)
+        lists = held.column("targets").combine_chunks()
+        of = np.repeat(np.arange(mine.n), np.diff(lists.offsets.to_numpy()))
+        first = np.searchsorted(of, np.arange(mine.n + 1))
+        doc_id, score = (lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "score"))
+        before = np.zeros(len(of), np.int64)
+        for names, chunk in chunks(mine, passing):
+            floor = np.full(mine.n, np.inf)
+            np.minimum.at(floor, of, np.where(before < k, score, np.inf))
+            rows = np.flatnonzero(np.isfinite(floor))
+            if not len(rows):
+                break
+            for q, docs, scores in chunk.above(mine, rows, floor):
+                for t in range(first[q], first[q + 1]):
+                    before[t] += np.count_nonzero(scores > score[t] + NEAR)
+                    near = np.flatnonzero(np.abs(scores - score[t]) <= NEAR)
+                    for name, s in zip(names[docs[near]], np.round(scores[near], SCORE_DIGITS)):
+                        # A missing id comes last.
+                        before[t] += name != doc_id[t] and bool(s > score[t] or (s == score[t] and name is not None and name > doc_id[t]))
+        own = [held.column(c).combine_chunks().take(pa.array(of)) for c in ("language", "row_id")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(doc_id, pa.string()), pa.array(score), pa.array(np.minimum(before, k))],
+                                         ["language", "query_id", "doc_id", "score", "before"])
+
+    kind = "array<struct<doc_id:string,score:double>>"
+    found = _searched(
+        weighted.join(targets, ["language", "query_id"]).withColumn("targets", F.col("targets").cast(kind)).withColumn("length", F.lit(0.0)),
+        documents.withColumn("weights", F.array().cast("array<double>")).withColumn("targets", F.array().cast(kind)), counts, search, _RUN + ", before long")
+    return found.groupBy("language", "query_id", "doc_id").agg(F.max("score").alias("score"), (F.sum("before") + 1).cast("int").alias("rank")).filter(F.col("rank") <= k)
 
 
 def dense_hits(queries: DataFrame, corpus: DataFrame, k: int, q_rows: int | None = None, d_rows: int | None = None) -> DataFrame:
     """The k nearest documents of each query in every part of the corpus."""
 
-    def scorer(held):
+    def search(held, passing):
         mine = unit(matrix(held.column("embedding")))
-        return lambda part: mine @ unit(matrix(part.column("embedding"))).T
+        best = Best(len(held), k)
+        rows = max(1, MOST_SCORES // len(held))
+        for batch in passing:
+            names = batch.column("row_id").to_numpy(zero_copy_only=False)
+            for start in range(0, batch.num_rows, rows):
+                scores = mine @ unit(matrix(batch.column("embedding").slice(start, rows))).T
+                q, d = np.nonzero(scores > best.limit[:, None] - 10.0 ** -SCORE_DIGITS)
+                best.add(names[start:start + rows], q, d, np.round(scores[q, d], SCORE_DIGITS))
+        yield from _found(held, best)
 
     def unit(m):
         m = m.astype(np.float64)
@@ -202,8 +241,8 @@ def dense_hits(queries: DataFrame, corpus: DataFrame, k: int, q_rows: int | None
 
     counts = _block_counts(queries, corpus, k, q_rows, d_rows)
     kind = "array<double>"
-    return _hits(queries.select("language", "query_id", F.col("embedding").cast(kind).alias("embedding")),
-                corpus.select("language", "doc_id", F.col("embedding").cast(kind).alias("embedding")), counts, k, False, scorer)
+    return _searched(queries.select("language", "query_id", F.col("embedding").cast(kind).alias("embedding")),
+                     corpus.select("language", "doc_id", F.col("embedding").cast(kind).alias("embedding")), counts, search, _RUN)
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 1000,

@@ -70,43 +70,78 @@ def matrix(column) -> np.ndarray:
 
 
 class Best:
-    """The best `k` passing rows of each held row so far. Of equal scores the first to
-    come stays, so rows have to come in the order that settles ties."""
+    """The best `k` passing rows of each held row so far, 12 bytes each. Of equal scores
+    the first to come stays, so rows have to come in the order that settles ties."""
+
+    #: Candidates that wait to be sorted in; entries sorted, and rows given back at a time.
+    WAITING, AT_ONCE = 2_000_000, 1 << 18
 
     def __init__(self, n: int, k: int, least: float = -np.inf):
         self.n, self.k = n, k
         # What a newcomer has to exceed.
         self.limit = np.full(n, least)
-        self.row, self.name, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self._score, self._name = np.zeros((n, k)), np.full((n, k), -1, np.int32)
         self.names = np.zeros(0, object)
         self._new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self._size = 0
+        self._kept = self._size = 0
 
     def add(self, names: np.ndarray, row: np.ndarray, name: np.ndarray, score: np.ndarray) -> None:
         """Candidates: `name` counts in `names`, rows that came after all before."""
         keep = score > self.limit[row]
         if keep.any():
             used, code = np.unique(name[keep], return_inverse=True)
-            self._new.append((row[keep], code + len(self.names), score[keep]))
+            self._new.append((row[keep].astype(np.int32), (code + len(self.names)).astype(np.int32), score[keep]))
             self.names = np.concatenate((self.names, names[used]))
             self._size += len(code)
-        if self._size > 2 * self.k * self.n:
-            self._settle()
-
-    def _settle(self) -> None:
-        row, name, score = (np.concatenate(x) for x in zip((self.row, self.name, self.score), *self._new))
-        order = np.lexsort((name, -score, row))
+        if self._size - self._kept > min(self.k * self.n, self.WAITING):
+            self.settle()
+
+    def settle(self) -> None:
+        """Sorts the candidates in; `limit` is up to date then."""
+        if not self._new:
+            return
+        row, name, score = (np.concatenate(x) for x in zip(*self._new))
+        self._new = []
+        order = np.argsort(row, kind="stable")
         row, name, score = row[order], name[order], score[order]
         first = np.searchsorted(row, np.arange(self.n + 1))
-        place = np.arange(len(row)) - first[row]
-        full = np.flatnonzero(np.diff(first) >= self.k)
-        self.limit[full] = score[first[full] + self.k - 1]
+        load = np.cumsum(np.diff(first) + self.k)
+        a = 0
+        while a < self.n:
+            b = max(a + 1, int(np.searchsorted(load, (load[a - 1] if a else 0) + self.AT_ONCE, side="right")))
+            if first[b] > first[a]:
+                self._sort_in(a, b, row[first[a]:first[b]], name[first[a]:first[b]], score[first[a]:first[b]])
+            a = b
+        there = self._name >= 0
+        full = there[:, -1]
+        self.limit[full] = self._score[full, -1]
+        used = np.zeros(len(self.names), bool)
+        used[self._name[there]] = True
+        self._name[there] = (np.cumsum(used, dtype=np.int32) - 1)[self._name[there]]
+        self.names = self.names[used]
+        self._kept = self._size = int(there.sum())
+
+    def _sort_in(self, a, b, row, name, score) -> None:
+        """New candidates of the rows from a to b join those that are kept."""
+        old = np.nonzero(self._name[a:b] >= 0)
+        row = np.concatenate((old[0], row - a))
+        name = np.concatenate((self._name[a:b][old], name))
+        score = np.concatenate((self._score[a:b][old], score))
+        order = np.lexsort((name, -score, row))
+        row, name, score = row[order], name[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(b - a))[row]
         keep = place < self.k
-        used, code = np.unique(name[keep], return_inverse=True)
-        self.row, self.name, self.score, self.names = row[keep], code, score[keep], self.names[used]
-        self._new, self._size = [], len(self.row)
+        self._name[a:b][row[keep], place[keep]] = name[keep]
+        self._score[a:b][row[keep], place[keep]] = score[keep]
+
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Held row, name and score of all that stay, a bounded number at a time."""
+        self.settle()
+        step = max(1, self.AT_ONCE // self.k)
+        for a in range(0, self.n, step):
+            row, place = np.nonzero(self._name[a:a + step] >= 0)
+            yield row + a, self.names[self._name[row + a, place]], self._score[row + a, place]
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Held row, name and score of all that stay."""
-        self._settle()
-        return self.row, self.names[self.name], self.score
+        return tuple(np.concatenate(x) for x in zip(*self.parts())) if self.n else (np.zeros(0, np.int64), self.names, np.zeros(0))

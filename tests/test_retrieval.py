@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from qaweave.operators import metrics as M
+from qaweave.operators import postings
 from qaweave.operators import ranking as R
 from qaweave.operators import streams
 from qaweave.plans import evaluate as V
@@ -181,3 +182,56 @@ def test_rows_that_leave_a_task(spark):
             assert R.dense_topk(q, d, 5, 10, d_rows).count() == 50
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("q_rows, d_rows, k", [(1000, 1000, 4), (2, 5, 4), (None, None, 100)])
+def test_judged_rows_have_their_rank_in_the_run(spark, rows, q_rows, d_rows, k):
+    """The judged rows of the full run, ties, strangers and repeated judgements included."""
+    rng = np.random.default_rng(8)
+    words = ["the"] * 4 + ["alpha", "beta", "gamma"]
+    docs = [(l, f"{l}{i}", " ".join(rng.choice(words, int(rng.integers(1, 4))))) for l in ("e", "f") for i in range(23)]
+    docs.append(("e", None, "alpha beta"))
+    queries = [(l, f"q{i}", " ".join(rng.choice(words, 3))) for l in ("e", "f") for i in range(6)] + [("e", None, "beta")]
+    judged = [(l, f"q{i}", f"{l}{int(d)}", 1) for l in ("e", "f") for i in range(7) for d in rng.integers(0, 26, 9)]
+    q = spark.createDataFrame(queries, "language string, query_id string, text string")
+    d = spark.createDataFrame(docs, "language string, doc_id string, text string")
+    qrels = spark.createDataFrame(judged, QRELS)
+    columns = ("language", "query_id", "doc_id", F.round("score", 6), "rank")
+    full = R.bm25_topk(q, d, k, q_rows=q_rows, d_rows=d_rows).join(qrels.drop("score").distinct(), ["language", "query_id", "doc_id"], "left_semi")
+    got = R.bm25_topk(q, d, k, q_rows=q_rows, d_rows=d_rows, judged=qrels)
+    assert rows(got, *columns) == rows(full, *columns) != []
+
+
+def test_documents_that_reach_the_floor():
+    """Scores of a chunk's documents against plain sums, for floors low and high."""
+    rng = np.random.default_rng(9)
+    codes = [np.sort(rng.choice(np.concatenate((np.repeat(np.arange(4), 30), np.arange(4, 90))), 40)) for _ in range(300)]
+    own = [rng.choice(100, 12, replace=False) for _ in range(5)]
+    weights = [rng.random(12) for _ in own]
+    held = postings.pa.table({"codes": [x.tolist() for x in own], "weights": [x.tolist() for x in weights]})
+    batch = postings.pa.RecordBatch.from_pydict({"row_id": [f"d{i}" for i in range(300)], "codes": [c.tolist() for c in codes], "length": [1.5] * 300})
+    mine = postings.Queries(held)
+    (names, chunk), = postings.chunks(mine, iter([batch]))
+    share = lambda c, t: (c == t).sum() / ((c == t).sum() + 1.5)
+    want = np.array([[sum(w * share(c, t) for t, w in zip(own[q], weights[q])) for c in codes] for q in range(5)])
+    assert chunk.n == len(names) == 300 and 0 < len(chunk.matrix) < 90
+    for floor in (0.0, np.median(want), np.sort(want.reshape(-1))[-3]):
+        found = {q: (docs, scores) for q, docs, scores in chunk.above(mine, np.arange(5), np.full(5, floor))}
+        for q in range(5):
+            assert found[q][0].tolist() == np.flatnonzero((want[q] >= floor) & (want[q] > 0)).tolist()
+            assert np.allclose(found[q][1], want[q][found[q][0]])
+
+
+def test_running_best_is_lean_and_leaves_in_parts(monkeypatch):
+    monkeypatch.setattr(streams.Best, "WAITING", 50)
+    monkeypatch.setattr(streams.Best, "AT_ONCE", 64)
+    best, scores = streams.Best(20, 10), np.random.default_rng(3).random((20, 400))
+    for a in range(0, 400, 4):
+        q, d = np.nonzero(scores[:, a:a + 4] > best.limit[:, None])
+        best.add(np.array([f"d{i}" for i in range(a, a + 4)], object), q, d, scores[:, a:a + 4][q, d])
+        assert best._size - best._kept <= 50 + 80
+    assert best._score.nbytes + best._name.nbytes == 12 * 10 * 20
+    parts = list(best.parts())
+    assert max(len(x[0]) for x in parts) <= 64 and len(parts) > 1
+    want = [(i, f"d{j}") for i in range(20) for j in np.argsort(-scores[i])[:10]]
+    assert [(int(q), n) for row, name, _ in parts for q, n in zip(row, name)] == want
