@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from qaweave import schemas
 from qaweave.plans.extract import extract_faq
-from qaweave.session import shared_folder
+from qaweave.session import shared_folder, stored
 from qaweave.sources import lines as L
 from qaweave.sources import retrieval_sets as S
 from qaweave.sources.entity_store import checkpoint_entities, finished_files
@@ -196,3 +196,19 @@ def test_tsv_round_trip(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert [tuple(x) for x in r.collect()] == [("007", "0001", 1)]
     assert spark.read.json(str(tmp_path / "s" / "corpus")).columns == ["contents", "id"]
+
+
+def test_a_stored_result_leaves_no_shuffle_files(spark):
+    import glob
+    import time
+
+    top = spark.sparkContext.getConf().get("spark.local.dir", "/tmp")
+    files = lambda: set(glob.glob(f"{top}/blockmgr-*/**/shuffle_*.data", recursive=True))
+    before = files()
+    table = stored(spark.range(20_000).groupBy((F.col("id") % 500).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and table.count() == 500
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
