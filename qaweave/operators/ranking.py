@@ -29,6 +29,9 @@ DOC_ROWS = 262144
 MOST_KEPT, MOST_SCORES = 8_000_000, 1_000_000
 #: Below so many rows blocks are not cut to give every core one; cells a core then has.
 LEAST_QUERY_ROWS, LEAST_DOC_ROWS, CELLS = 256, 16384, 4
+#: Documents of a language that all judged queries see first (and at least so many times
+#: `k`); each further round sees up to so many times as many.
+FIRST_ROWS, FIRST_TIMES, WIDER = 4096, 8, 8
 SCORE_DIGITS = 9
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 _CELL = ["language", "q_block", "d_block"]
@@ -138,11 +141,13 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float = 0.
 
     With `judged` (language, query_id, doc_id) only the rows of these pairs leave, each
     with its rank among all documents, if that is k at most. Nothing is kept for a query
-    then but the number of documents before its judged ones."""
+    then but the number of documents before its judged ones, and a judged document with k
+    before it is settled: later rounds, over more and more documents, leave it out."""
     weighted, postings = _postings(queries, corpus)
     length = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("doc_len") / F.col("avg_len"))
     documents = postings.select("language", "doc_id", "codes", length.alias("length"))
     if judged is not None:
+        documents = postings.select(*documents.columns[:3], length.alias("length"), F.pmod(F.xxhash64("doc_id"), "n_docs").alias("place"), "n_docs")
         return _places(weighted, documents, judged, k, q_rows, d_rows)
     counts = _block_counts(weighted, documents, k, q_rows, d_rows)
 
@@ -181,21 +186,20 @@ def _places(weighted: DataFrame, documents: DataFrame, judged: DataFrame, k: int
             rows = pa.RecordBatch.from_arrays([batch.column(c) for c in ("language", "query_id", "doc_id")] + [pa.array(scores)], ["language", "query_id", "doc_id", "score"])
             yield rows.filter(pa.array(scores > 0))
 
-    targets = (
-        judged.select("language", "query_id", "doc_id").distinct()
+    keys = ["language", "query_id", "doc_id"]
+    open_rows = stored(
+        judged.select(*keys).distinct()
         .join(weighted.withColumnRenamed("codes", "q_codes"), ["language", "query_id"]).join(documents, ["language", "doc_id"])
-        .select("language", "query_id", "doc_id", "q_codes", "weights", "codes", "length").mapInArrow(scored, _RUN)
-        .groupBy("language", "query_id").agg(F.collect_list(F.struct("doc_id", "score")).alias("targets"))
-    )
-    counts = _block_counts(weighted, documents, 1, q_rows, d_rows)
+        .select(*keys, "q_codes", "weights", "codes", "length").mapInArrow(scored, _RUN)
+        .withColumn("before", F.lit(0).cast("long")), "judged")
 
     def search(held, passing):
         mine = Queries(held)
         lists = held.column("targets").combine_chunks()
         of = np.repeat(np.arange(mine.n), np.diff(lists.offsets.to_numpy()))
         first = np.searchsorted(of, np.arange(mine.n + 1))
-        doc_id, score = (lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "score"))
-        before = np.zeros(len(of), np.int64)
+        doc_id, score, known = (lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "score", "before"))
+        before = known.copy()
         for names, chunk in chunks(mine, passing):
             floor = np.full(mine.n, np.inf)
             np.minimum.at(floor, of, np.where(before < k, score, np.inf))
@@ -210,14 +214,24 @@ def _places(weighted: DataFrame, documents: DataFrame, judged: DataFrame, k: int
                         # A missing id comes last.
                         before[t] += name != doc_id[t] and bool(s > score[t] or (s == score[t] and name is not None and name > doc_id[t]))
         own = [held.column(c).combine_chunks().take(pa.array(of)) for c in ("language", "row_id")]
-        yield pa.RecordBatch.from_arrays([*own, pa.array(doc_id, pa.string()), pa.array(score), pa.array(np.minimum(before, k))],
+        yield pa.RecordBatch.from_arrays([*own, pa.array(doc_id, pa.string()), pa.array(score), pa.array(np.minimum(before, k) - known)],
                                          ["language", "query_id", "doc_id", "score", "before"])
 
-    kind = "array<struct<doc_id:string,score:double>>"
-    found = _searched(
-        weighted.join(targets, ["language", "query_id"]).withColumn("targets", F.col("targets").cast(kind)).withColumn("length", F.lit(0.0)),
-        documents.withColumn("weights", F.array().cast("array<double>")).withColumn("targets", F.array().cast(kind)), counts, search, _RUN + ", before long")
-    return found.groupBy("language", "query_id", "doc_id").agg(F.max("score").alias("score"), (F.sum("before") + 1).cast("int").alias("rank")).filter(F.col("rank") <= k)
+    kind = "array<struct<doc_id:string,score:double,before:bigint>>"
+    passing = documents.withColumn("weights", F.array().cast("array<double>")).withColumn("targets", F.array().cast(kind))
+    most = documents.agg(F.max("n_docs")).first()[0] or 0
+    start, end = 0, max(FIRST_ROWS, FIRST_TIMES * k)
+    while start < most:
+        # A part of each language by the hash of the id; all parts together are all documents.
+        part = passing.filter(F.col("place").between(start, end - 1)).drop("place", "n_docs")
+        targets = open_rows.groupBy("language", "query_id").agg(F.collect_list(F.struct("doc_id", "score", "before")).cast(kind).alias("targets"))
+        queries = weighted.join(targets, ["language", "query_id"]).withColumn("length", F.lit(0.0))
+        found = _searched(queries, part, _block_counts(queries, part, 1, q_rows, d_rows), search, _RUN + ", before long")
+        open_rows = stored(
+            open_rows.unionByName(found).groupBy(*keys).agg(F.max("score").alias("score"), F.sum("before").alias("before"))
+            .filter(F.col("before") < k), "judged")
+        start, end = end, end * WIDER
+    return open_rows.select(*keys, "score", (F.col("before") + 1).cast("int").alias("rank"))
 
 
 def dense_hits(queries: DataFrame, corpus: DataFrame, k: int, q_rows: int | None = None, d_rows: int | None = None) -> DataFrame:

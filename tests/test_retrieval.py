@@ -202,6 +202,33 @@ def test_judged_rows_have_their_rank_in_the_run(spark, rows, q_rows, d_rows, k):
     assert rows(got, *columns) == rows(full, *columns) != []
 
 
+@pytest.mark.parametrize("k", [2, 10])
+def test_settled_rows_leave_the_later_rounds(spark, rows, monkeypatch, k):
+    """Ranks over three rounds of documents are those of the run; a judged row with k
+    documents before it is not counted on, and no judged row is lost."""
+    rng = np.random.default_rng(10)
+    words = ["the"] * 4 + ["alpha", "beta", "gamma", "delta"]
+    docs = [(l, f"{l}{i}", " ".join(rng.choice(words, int(rng.integers(1, 6))))) for l, n in (("e", 60), ("f", 3)) for i in range(n)]
+    queries = [(l, f"q{i}", " ".join(rng.choice(words, 3))) for l in ("e", "f") for i in range(9)]
+    judged = [(l, f"q{i}", f"{l}{int(d)}", 1) for l, n in (("e", 60), ("f", 3)) for i in range(9) for d in rng.integers(0, n, 6)]
+    q = spark.createDataFrame(queries, "language string, query_id string, text string")
+    d = spark.createDataFrame(docs, "language string, doc_id string, text string")
+    qrels = spark.createDataFrame(judged, QRELS)
+    passed, searched = [], R._searched
+    monkeypatch.setattr(R, "_searched", lambda queries, corpus, *a: passed.append((queries.count(), corpus.count())) or searched(queries, corpus, *a))
+    full = R.bm25_topk(q, d, k).join(qrels.drop("score").distinct(), ["language", "query_id", "doc_id"], "left_semi")
+    columns = ("language", "query_id", "doc_id", F.round("score", 6), "rank")
+    want = rows(full, *columns)
+    passed.clear()
+    monkeypatch.setattr(R, "FIRST_ROWS", 5)
+    monkeypatch.setattr(R, "FIRST_TIMES", 1)
+    monkeypatch.setattr(R, "WIDER", 4)
+    assert rows(R.bm25_topk(q, d, k, judged=qrels), *columns) == want != []
+    assert len(passed) >= 2 and sum(n for _, n in passed) == 63
+    if k == 2:
+        assert passed[-1][0] < passed[0][0]
+
+
 def test_documents_that_reach_the_floor():
     """Scores of a chunk's documents against plain sums, for floors low and high."""
     rng = np.random.default_rng(9)
