@@ -18,11 +18,27 @@ def _entries(values: DataFrame, task: str, model: str) -> DataFrame:
     )
 
 
+def sparse_hits(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
+    """The documents among the first k of a BM25 run that decide nDCG after gold reordering.
+    One without a judgement has gain 0 at any place, so only judged ones leave the run. A
+    document that a query judges both above 0 and not stands between those without; such
+    queries give their whole run."""
+    key = ["language", "query_id"]
+    hits = R.bm25_topk(queries, corpus, k, judged=qrels)
+    score = F.coalesce("score", F.lit(0))
+    odd = qrels.groupBy(*key, "doc_id").agg(F.max(score).alias("most"), F.min(score).alias("least")).filter(
+        "most > 0 and least <= 0").select(*key).distinct()
+    if odd.isEmpty():
+        return hits
+    whole = R.bm25_topk(queries.join(odd, key, "left_semi"), corpus, k)
+    return hits.join(odd, key, "left_anti").unionByName(whole)
+
+
 def evaluate_sparse(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, task: str,
                     k: int = 10) -> DataFrame:
     """BM25, scored as published: nDCG@10 after gold reordering."""
     return _entries(
-        M.ndcg_gold_reordered(R.bm25_topk(queries, corpus, k), qrels), task, "bm25"
+        M.ndcg_gold_reordered(sparse_hits(queries, corpus, qrels, k), qrels), task, "bm25"
     )
 
 

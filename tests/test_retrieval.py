@@ -229,6 +229,23 @@ def test_settled_rows_leave_the_later_rounds(spark, rows, monkeypatch, k):
         assert passed[-1][0] < passed[0][0]
 
 
+@pytest.mark.parametrize("odd", [0, 5])
+def test_sparse_evaluation_moves_judged_rows_only(spark, monkeypatch, odd):
+    """The published score over the whole run, from a run that returns judged rows alone;
+    whole runs only of queries that judge a document both above 0 and not."""
+    text = [("e", f"{i}", " ".join("abcdefg"[j] * 2 for j in range(7) if (i + 3) >> j & 1)) for i in range(40)]
+    q = spark.createDataFrame(text, "language string, query_id string, text string")
+    d = spark.createDataFrame(text, "language string, doc_id string, text string")
+    judged = [("e", f"{i}", f"{(i + j) % 40}", s) for i in range(40) for j, s in ((0, 2), (2, 1), (2, 1), (7, 0), (11, -1))]
+    qrels = spark.createDataFrame(judged + [("e", f"{i}", f"{i + 2}", -(i % 2)) for i in range(odd)], QRELS)
+    want = M.mean_metric(M.ndcg_gold_reordered(R.bm25_topk(q, d, 10), qrels)).first().value
+    kept, topk = [], R.bm25_topk
+    monkeypatch.setattr(R, "bm25_topk", lambda *a, **b: kept.append(topk(*a, **b)) or kept[-1])
+    assert V.evaluate_sparse(q, d, qrels, "own").first().value == pytest.approx(want, abs=1e-12) and want > 0
+    assert kept[0].join(qrels, ["language", "query_id", "doc_id"], "left_anti").count() == 0
+    assert [run.select("query_id").distinct().count() for run in kept[1:]] == [odd] * (odd > 0)
+
+
 def test_documents_that_reach_the_floor():
     """Scores of a chunk's documents against plain sums, for floors low and high."""
     rng = np.random.default_rng(9)
