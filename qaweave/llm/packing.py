@@ -6,6 +6,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -20,55 +21,73 @@ from qaweave.llm.texts import kept_in_worker, sliced
 from qaweave.session import stored
 
 TOKENIZER = "word_bpe_49k.json"
+#: Characters of a word that is kept at most; new words since a table was full, in its sizes.
+LONGEST, RENEWED = 64, 4
+
+
+class Kept(dict):
+    """Values of `make` by key, at most `most` of them, made as they are asked for. Once it
+    is full new keys are made each time; after several times `most` of these it starts anew,
+    as the texts may have turned to other words."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.missed = make, most, 0
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(self) < self.most:
+            if len(key) <= LONGEST:
+                self[key] = value
+        else:
+            self.missed += 1
+            if self.missed >= RENEWED * self.most:
+                self.clear()
+                self.missed = 0
+        return value
 
 
 class WordIds:
-    """Token ids of texts, each distinct word tokenised once and kept.
+    """Token ids of texts, each distinct word tokenised once while it is kept.
 
     The tokenizer drops white space and never joins over it, so the ids of a text are
     those of its words. Words of Latin letters with plain marks behind them go to the
     model as a lower-case stem and its marks; all others, and texts with a special token
-    in them, pass the whole tokenizer. At most `most` words are kept.
+    in them, pass the whole tokenizer. At most `most` words and stems are kept.
     """
 
     _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.most = self.tokenizer.model, most
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {"": b""}
+        self.words, self.stems = Kept(self.word, most), Kept(self.stem, most)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte_names = {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def stem(self, text: str) -> bytes:
-        if (ids := self.stems.get(text)) is None:
-            names = text.encode().decode("latin-1").translate(self.byte_names)
-            ids = array("I", [t.id for t in self.model.tokenize(names)]).tobytes()
-            if len(self.stems) < self.most:
-                self.stems[text] = ids
-        return ids
+        # Letters and marks of ASCII are their own names.
+        names = text if text.isascii() else text.encode().decode("latin-1").translate(self.byte_names)
+        return array("I", [t.id for t in self.model.tokenize(names)]).tobytes()
 
     def word(self, text: str) -> bytes:
         if m := self._plain(text):
-            return self.stem(m[1].lower()) + self.stem(m[2])
+            letters, marks = m.groups()
+            ids = self.stems[letters.lower()]
+            return ids + self.stems[marks] if marks else ids
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.words
-        missing = set().union(*split).difference(known)
-        if len(known) + len(missing) > self.most:
-            known = {**{w: known[w] for w in set().union(*split).intersection(known)}, "": b""}
-        known.update((w, self.word(w)) for w in missing)
-        get = known.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for i, t in enumerate(texts):
+        get, out = self.words.__getitem__, []
+        for t in texts:
             if any(s in t for s in self.special):
-                out[i] = array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
+                out.append(array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
+            else:
+                words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+                out.append(b"".join(map(get, words)))
         return out
 
 

@@ -52,6 +52,27 @@ def test_word_ids_equal_whole_texts():
         assert words.texts(part) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
 
 
+def test_a_full_table_keeps_its_words():
+    """Texts of rare words do not drive out common ones; words that stay away are let go,
+    and long words are never held."""
+    made = Counter()
+
+    class Counting(packing.WordIds):
+        def word(self, text):
+            made[text] += 1
+            return super().word(text)
+
+    words = Counting(public_tokenizers.path(packing.TOKENIZER), most=20)
+    common = "the and of with for"
+    for k in range(6):
+        words.texts([common])
+        words.texts([" ".join(f"rare{k}x{i}" for i in range(10))])
+    assert all(made[w] == 1 for w in common.split())
+    words.texts(["new words now", "x" * 65] * 60)
+    assert made["now"] < 60 and "now" in words.words
+    assert len(words.words) <= 20 and "x" * 65 not in words.words
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_patterns_are_tight(seed):
     rng = np.random.default_rng(seed)
