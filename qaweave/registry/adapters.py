@@ -50,7 +50,7 @@ def faq(spark, sf) -> DataFrame:
     if key not in _WRITTEN:
         path = new_path(spark, "faq")
         rows = dedup_exact(add_id(pairs(spark, sf)), ["language"], ["pos"])
-        rows.write.parquet(path)
+        rows.write.option("compression", "zstd").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
 
