@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from qaweave.functions.text import map_iso_code
 from qaweave.operators.clean import add_id
 from qaweave.operators.dedup import dedup_exact
-from qaweave.session import new_path
+from qaweave.session import new_path, written
 
 # Spanish plays the small language.
 LARGE = ("deu", "eng", "fra")
@@ -48,10 +48,8 @@ def faq(spark, sf) -> DataFrame:
     with their own column selection."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _WRITTEN:
-        path = new_path(spark, "faq")
         rows = dedup_exact(add_id(pairs(spark, sf)), ["language"], ["pos"])
-        rows.write.option("compression", "zstd").parquet(path)
-        _WRITTEN[key] = path
+        _WRITTEN[key] = written(rows, "faq", compression="zstd")
     return spark.read.parquet(_WRITTEN[key])
 
 

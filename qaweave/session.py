@@ -50,16 +50,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a result as a Parquet table in the shared folder and read it back:
-    later readers prune its columns, and a lost executor costs them nothing. The
-    shuffle files behind it go at once, as nothing reads them again."""
+def written(df: DataFrame, name: str, **options: str) -> str:
+    """Write a result as a Parquet table in the shared folder: its path. The shuffle files
+    behind it go at once, as nothing reads them again."""
     spark = df.sparkSession
     path = new_path(spark, name)
     before = spark.conf.get(FREE_SHUFFLES, "false")
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, **options)
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a result as a Parquet table in the shared folder and read it back:
+    later readers prune its columns, and a lost executor costs them nothing."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
