@@ -20,11 +20,12 @@ def _by(*order):
     return Window.partitionBy(*_QUERY).orderBy(*order)
 
 
-def _judged(run: DataFrame, qrels: DataFrame, depth: int) -> DataFrame:
+def _judged(run: DataFrame, qrels: DataFrame, depth: int, rank: str | None) -> DataFrame:
     """The first `depth` documents with rank and relevance (0 if not judged)."""
-    ranked = run.withColumn(
-        "rank", F.row_number().over(_by(F.desc("score"), F.desc("doc_id")))
-    ).filter(F.col("rank") <= depth)
+    if rank is None:
+        run = run.withColumn("rank", F.row_number().over(_by(F.desc("score"), F.desc("doc_id"))))
+        rank = "rank"
+    ranked = run.select(*_QUERY, "doc_id", F.col(rank).alias("rank")).filter(F.col("rank") <= depth)
     relevance = qrels.select(*_QUERY, "doc_id", F.col("score").alias("relevance"))
     return ranked.join(relevance, [*_QUERY, "doc_id"], "left").select(
         *_QUERY, "doc_id", "rank", F.coalesce("relevance", F.lit(0)).alias("relevance")
@@ -71,11 +72,12 @@ def _long(df: DataFrame, values: dict, ks) -> DataFrame:
     return df.select(*_QUERY, F.inline(cells))
 
 
-def ndcg_at_k(run: DataFrame, qrels: DataFrame, ks=(10,)) -> DataFrame:
-    """Linear gain, logarithmic discount."""
+def ndcg_at_k(run: DataFrame, qrels: DataFrame, ks=(10,), rank: str | None = None) -> DataFrame:
+    """Linear gain, logarithmic discount. `rank` names a column with the order by score and
+    document id, if the run has one; such a run may hold its judged documents only."""
     ks = list(ks)
     gains = (
-        _judged(run, qrels, max(ks)).groupBy(*_QUERY)
+        _judged(run, qrels, max(ks), rank).groupBy(*_QUERY)
         .agg(*_cut_sums(_gain("relevance", "rank"), "rank", ks, "gain"))
     )
     joined = _ideal(qrels, ks).join(gains, _QUERY, "left")

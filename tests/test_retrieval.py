@@ -279,3 +279,20 @@ def test_running_best_is_lean_and_leaves_in_parts(monkeypatch):
     assert max(len(x[0]) for x in parts) <= 64 and len(parts) > 1
     want = [(i, f"d{j}") for i in range(20) for j in np.argsort(-scores[i])[:10]]
     assert [(int(q), n) for row, name, _ in parts for q, n in zip(row, name)] == want
+
+
+def test_ndcg_of_a_run_of_judged_rows(spark, rows):
+    """nDCG at cutoffs over the whole run, from the judged rows of it and their ranks."""
+    rng = np.random.default_rng(11)
+    words = ["the"] * 4 + ["alpha", "beta", "gamma", "delta"]
+    docs = [(l, f"{l}{i}", " ".join(rng.choice(words, int(rng.integers(1, 6))))) for l in ("e", "f") for i in range(30)]
+    queries = [(l, f"q{i}", " ".join(rng.choice(words, 3))) for l in ("e", "f") for i in range(8)]
+    judged = [(l, f"q{i}", f"{l}{int(d)}", int(s)) for l in ("e", "f") for i in range(9) for d, s in zip(rng.integers(0, 30, 9), rng.integers(-1, 4, 9))]
+    q = spark.createDataFrame(queries, "language string, query_id string, text string")
+    d = spark.createDataFrame(docs, "language string, doc_id string, text string")
+    qrels = spark.createDataFrame(judged, QRELS)
+    columns = ("language", "query_id", "k", F.round("value", 9))
+    want = rows(M.ndcg_at_k(R.bm25_topk(q, d, 10), qrels, (3, 10)), *columns)
+    run = R.bm25_topk(q, d, 10, judged=qrels)
+    assert run.join(qrels, ["language", "query_id", "doc_id"], "left_anti").isEmpty()
+    assert rows(M.ndcg_at_k(run, qrels, (3, 10), rank="rank"), *columns) == want != []
