@@ -24,7 +24,7 @@ def in_cells(rows: DataFrame, cell: list[str], *order: Column) -> DataFrame:
 def streamed(batches: Iterator[pa.RecordBatch], cell: list[str]) -> Iterator[tuple[pa.Table | None, Iterator[pa.RecordBatch]]]:
     """For each cell its held rows (None if there are none) and the passing batches.
     The batches of a cell must be read before the next cell."""
-    parts = _parts(batches, cell)
+    parts = runs(batches, cell)
     ahead = next(parts, None)
     while ahead is not None:
         key, held = ahead[0], []
@@ -45,7 +45,7 @@ def streamed(batches: Iterator[pa.RecordBatch], cell: list[str]) -> Iterator[tup
         ahead = state[0]
 
 
-def _parts(batches, cell):
+def runs(batches, cell):
     """(cell, side, rows) for every run of rows alike in both."""
     for batch in batches:
         if not batch.num_rows:
@@ -145,3 +145,59 @@ class Best:
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Held row, name and score of all that stay."""
         return tuple(np.concatenate(x) for x in zip(*self.parts())) if self.n else (np.zeros(0, np.int64), self.names, np.zeros(0))
+
+
+class Deep:
+    """The best `k` passing rows of each held row, 12 bytes each, for candidates of one held
+    row at a time. Of equal scores above 0 the first to come stays."""
+
+    #: Rows given back at a time.
+    AT_ONCE = 1 << 18
+
+    def __init__(self, n: int, k: int, least: float = 0.0):
+        self.n, self.k = n, k
+        # What a newcomer has to exceed.
+        self.limit = np.full(n, least)
+        self._score, self._name, self._size = np.empty((n, k)), np.empty((n, k), np.int32), np.zeros(n, np.int64)
+        self._names: list[pa.Array] = []
+        self._first = self._base = 0
+
+    def open(self, names: pa.Array) -> None:
+        """Names that the candidates from now on count in, rows that came after all before.
+        Names that no kept row bears go where they are many."""
+        if self._first > 2 * self.n * self.k + (1 << 16):
+            there = np.arange(self.k) < self._size[:, None]
+            used, code = np.unique(self._name[there], return_inverse=True)
+            self._name[there] = code
+            self._names, self._first = [self.names().take(pa.array(used))], len(used)
+        self._base = self._first
+        self._names.append(names)
+        self._first += len(names)
+
+    def add(self, row: int, name: np.ndarray, score: np.ndarray) -> None:
+        """Candidates of a held row, in the order they came."""
+        keep = score > self.limit[row]
+        if not keep.any():
+            return
+        m = int(self._size[row])
+        score = np.concatenate((self._score[row, :m], score[keep]))
+        name = np.concatenate((self._name[row, :m], (name[keep] + self._base).astype(np.int32)))
+        if len(score) > self.k:
+            least = np.partition(score, -self.k)[-self.k]
+            keep = score > least
+            keep[np.flatnonzero(score == least)[:self.k - np.count_nonzero(keep)]] = True
+            score, name = score[keep], name[keep]
+        n = len(score)
+        self._score[row, :n], self._name[row, :n], self._size[row] = score, name, n
+        if n == self.k:
+            self.limit[row] = score.min()
+
+    def names(self) -> pa.Array:
+        return pa.concat_arrays(self._names) if self._names else pa.array([], pa.string())
+
+    def of(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """Name (its place in `names`) and score of what stays of a held row, best first."""
+        m = self._size[row]
+        name, score = self._name[row, :m], self._score[row, :m]
+        order = np.lexsort((name, -score))
+        return name[order], score[order]

@@ -296,3 +296,76 @@ def test_ndcg_of_a_run_of_judged_rows(spark, rows):
     run = R.bm25_topk(q, d, 10, judged=qrels)
     assert run.join(qrels, ["language", "query_id", "doc_id"], "left_anti").isEmpty()
     assert rows(M.ndcg_at_k(run, qrels, (3, 10), rank="rank"), *columns) == want != []
+
+
+@pytest.mark.parametrize("q_rows, d_rows", [(None, None), (3, 5)])
+def test_searches_fused_where_they_are_found(spark, rows, q_rows, d_rows):
+    """Two searches fused in their tasks give the rows of two runs that are joined, with
+    questions, documents and languages of one search only, ties and repeated rows; nothing
+    is dealt after the search."""
+    rng = np.random.default_rng(12)
+    words = ["the"] * 4 + ["alpha", "beta", "gamma", "delta"]
+    docs = [(l, f"{l}{i}", " ".join(rng.choice(words, int(rng.integers(1, 6))))) for l in ("e", "f", "g") for i in range(17)]
+    docs += docs[3:5] + [("e", None, "alpha beta"), (None, "x", "alpha"), ("e", "y", None), ("e", "z", "")]
+    queries = [(l, f"q{i}", " ".join(rng.choice(words, 3))) for l in ("e", "f", "h") for i in range(8)] + [("e", None, "beta"), ("e", "q1", "delta")]
+    vectors = [(l, f"{l}{i}", x.tolist()) for l in ("e", "f", "h") for i, x in enumerate(rng.integers(-2, 3, (13, 4)) + 0.5)]
+    asked = [(l, f"q{i}", x.tolist()) for l in ("e", "f", "g", "h") for i, x in enumerate(rng.integers(-2, 3, (10, 4)) + 0.5)]
+    kind = "language string, {}_id string, {}"
+    q, d = spark.createDataFrame(queries, kind.format("query", "text string")), spark.createDataFrame(docs, kind.format("doc", "text string"))
+    vq = spark.createDataFrame(asked + asked[2:4], kind.format("query", "embedding array<float>"))
+    vd = spark.createDataFrame(vectors, kind.format("doc", "embedding array<float>"))
+    columns = ("language", "query_id", "doc_id", F.round("score", 6), "rank")
+    runs = R.bm25_topk(q, d, 6, q_rows=q_rows, d_rows=d_rows), R.dense_topk(vq, vd, 7)
+    fused = R.hybrid_scores(R.bm25_topk(q, d, 6, q_rows=q_rows, d_rows=d_rows, run=False), R.dense_topk(vq, vd, 7, q_rows=q_rows, run=False))
+    assert rows(fused, *columns) == rows(R.hybrid_scores(*runs), *columns) != []
+    for df in (fused, runs[0]):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("width", [1, 37, 5000])
+def test_deep_best_of_one_row_at_a_time(width):
+    """Best rows with ties in the order they came, names of rows that went let go."""
+    scores = np.round(np.random.default_rng(1).random((7, 5000)), 2)
+    best = streams.Deep(7, 10)
+    for a in range(0, 5000, width):
+        best.open(postings.pa.array([f"d{i}" for i in range(a, min(5000, a + width))]))
+        for q in range(7):
+            part = scores[q, a:a + width]
+            name = np.flatnonzero(part > best.limit[q])
+            best.add(q, name, part[name])
+    names = best.names().to_pylist()
+    for q in range(7):
+        name, score = best.of(q)
+        want = sorted(range(5000), key=lambda j: (-scores[q, j], j))[:10]
+        assert [names[i] for i in name] == [f"d{j}" for j in want] and score.tolist() == scores[q, want].tolist()
+
+
+def test_names_of_a_deep_best_go():
+    best = streams.Deep(1, 2)
+    for i in range(40):
+        best.open(postings.pa.array([f"{i}-{j}" for j in range(4000)]))
+        best.add(0, np.array([7]), np.array([i + 1.0]))
+    assert len(best.names()) < 75_000
+    assert [best.names()[int(i)].as_py() for i in best.of(0)[0]] == ["39-7", "38-7"]
+
+
+def test_pieces_of_an_index():
+    """Words of each document in pieces of bounded size; rows of one id are one document."""
+    rng = np.random.default_rng(13)
+    codes = [rng.integers(0, 30, int(rng.integers(0, 20))).tolist() for _ in range(50)]
+    ids = [f"{99 - i // 2 if i < 10 else 90 - i}" for i in range(50)]
+    batch = postings.pa.RecordBatch.from_pydict({
+        "language": ["e"] * 25 + ["f"] * 25, "doc_id": ids, "size": postings.pa.array([len(c) for c in codes], postings.pa.int32()),
+        "codes": postings.pa.array(codes, postings.pa.list_(postings.pa.int64()))})
+    pieces = [r for b in postings.indexed(iter([batch.slice(0, 7), batch.slice(7)]), 8, 3) for r in b.to_pylist()]
+    assert [r["part"] for r in pieces] == [(3 << 32) + i for i in range(len(pieces))] and max(r["n_names"] for r in pieces) == 8
+    want, got = {}, {}
+    for l, i, c in zip(["e"] * 25 + ["f"] * 25, ids, codes):
+        for t in c:
+            want[l, i, t] = want.get((l, i, t), 0) + 1
+    for r in pieces:
+        n = sum(r["sizes"])
+        doc, tf = (postings._unpacked(r[c], w, n) for c, w in zip(("docs", "counts"), r["bytes"]))
+        for t, d, f in zip(np.repeat(r["codes"], r["sizes"]), doc, tf):
+            assert got.setdefault((r["language"], r["names"][d], int(t)), int(f)) == f
+    assert got == want and len({r["language"] for r in pieces}) == 2
